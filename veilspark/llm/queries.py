@@ -6,16 +6,33 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
-from .shared import documents
+from . import audio, packing, simhash, urlfilter
+from .shared import documents, pages
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.result(documents(spark, sf_dir))
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(pages(spark, sf_dir))
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir)).withColumnRenamed("queue", "source")
+
+
+def op8_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.result(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
+    "op3_url_filter": op3_url_filter,
+    "op4_packing": op4_packing,
+    "op8_audio": op8_audio,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_url_filter": urlfilter.ORACLE,
+}
