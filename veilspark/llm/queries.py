@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, packing, simhash, urlfilter
+from . import audio, packing, rules, simhash, urlfilter
 from .shared import documents, pages
 
 
@@ -26,11 +26,16 @@ def op8_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.result(documents(spark, sf_dir))
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.result(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_url_filter": op3_url_filter,
     "op4_packing": op4_packing,
     "op8_audio": op8_audio,
+    "op9_quality_rules": op9_quality_rules,
 }
 
 ORACLES: dict[str, str] = {
