@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, packing, rules, simhash, urlfilter
+from . import audio, packing, pii, rules, simhash, urlfilter
 from .shared import documents, pages
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.result(documents(spark, sf_dir))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.result(documents(spark, sf_dir))
 
@@ -31,6 +35,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
     "op2_simhash": op2_simhash,
     "op3_url_filter": op3_url_filter,
     "op4_packing": op4_packing,
