@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, packing, pii, rules, simhash, urlfilter
+from . import audio, lm, packing, pii, rules, simhash, urlfilter
 from .shared import documents, pages
 
 
@@ -26,6 +26,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir)).withColumnRenamed("queue", "source")
 
 
+def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(documents(spark, sf_dir))
+
+
 def op8_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.result(documents(spark, sf_dir))
 
@@ -39,6 +43,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_url_filter": op3_url_filter,
     "op4_packing": op4_packing,
+    "op5_lm": op5_lm,
     "op8_audio": op8_audio,
     "op9_quality_rules": op9_quality_rules,
 }
