@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, lm, packing, pii, rules, simhash, urlfilter
+from . import audio, lm, packing, pii, quality, rules, simhash, urlfilter
 from .shared import documents, pages
 
 
@@ -30,6 +30,10 @@ def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(documents(spark, sf_dir))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(documents(spark, sf_dir))
+
+
 def op8_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.result(documents(spark, sf_dir))
 
@@ -44,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_url_filter": op3_url_filter,
     "op4_packing": op4_packing,
     "op5_lm": op5_lm,
+    "op6_quality": op6_quality,
     "op8_audio": op8_audio,
     "op9_quality_rules": op9_quality_rules,
 }
