@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, lm, packing, pii, quality, rules, simhash, spm, urlfilter
+from . import audio, htmlx, lm, packing, pii, quality, rules, simhash, spm, urlfilter
 from .shared import documents, pages
 
 
@@ -34,6 +34,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(documents(spark, sf_dir))
 
 
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmlx.extract(pages(spark, sf_dir))
+
+
 def op8_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.result(documents(spark, sf_dir))
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
     "op5_lm": op5_lm,
     "op6_quality": op6_quality,
+    "op7_html": op7_html,
     "op8_audio": op8_audio,
     "op9_quality_rules": op9_quality_rules,
     "op10_sentencepiece": op10_sentencepiece,

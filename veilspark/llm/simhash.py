@@ -54,12 +54,13 @@ def fingerprints_of(column: pa.Array, n: int = 4) -> np.ndarray:
 def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text"):
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fingerprints_of(part.column("text")))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("mark"), pa.array(fingerprints_of(part.column("text")))], ["doc_id", "mark", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): a null text counts as empty; no words give 0."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_fingerprint, "doc_id long, fp long")
+    """(doc_id, mark, fp): a null text counts as empty; no words give 0; the mark is a hash of the whole text."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("mark")).mapInArrow(_fingerprint, "doc_id long, mark long, fp long")
 
 
 class BKTree:
@@ -215,23 +216,39 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of docs.
+    """(doc_id, mark, fp, component_id, keeper) for every row of docs.
 
     component_id is the smallest doc_id reachable over links of at most `radius` bits, the
-    document itself included. Null texts count as empty, documents without words have
-    fingerprint 0 and link like any other; rows that repeat a doc_id come back as often.
-    A null doc_id takes part in links but is never a component_id unless no other is there.
-    An empty table gives no rows. Extra columns are left alone.
+    document itself included; keeper is the (doc_id, mark) of the row that stands for the
+    component. Null texts count as empty, documents without words have fingerprint 0 and
+    link like any other; rows that repeat a doc_id come back as often. A null doc_id takes
+    part in links but is never a component_id unless no other is there. An empty table gives
+    no rows. Extra columns are left alone.
     """
     fps = written(fingerprints(docs), "simhash-fps")
-    groups = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "simhash-groups")
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
+    groups = written(fps.groupBy("fp").agg(F.min(row).alias("least"), F.count("*").alias("n")), "simhash-groups")
     roots = components(links(groups.select("fp"), radius))
     full = written(groups.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"), F.col("root").isNotNull().alias("linked")), "simhash-roots")
-    of = full.where("linked").groupBy("root").agg(F.min("least").alias("component_id"))
-    many = full.join(of, "root", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return fps.join(many, "fp", "left").select("doc_id", "fp", "component_id")
+    of = full.where("linked").groupBy("root").agg(F.min("least").alias("of"))
+    many = full.join(of, "root", "left").select("fp", F.coalesce("of", "least").alias("of"))
+    return fps.join(many, "fp", "left").select("doc_id", "mark", "fp", F.col("of.doc_id").alias("component_id"), F.struct("of.doc_id", "of.mark").alias("keeper"))
 
 
 def result(docs: DataFrame) -> DataFrame:
     """The query's columns: the fingerprint as 16 hexadecimal digits."""
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def deduplicated(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """One row of docs for each component, that of the smallest doc_id, with its columns; of rows equal in doc_id and text one stays."""
+    found = written(near_duplicates(docs, radius).select("doc_id", "mark", "keeper"), "simhash-rows")
+    gone = written(found.where(~F.struct("doc_id", "mark").eqNullSafe(F.col("keeper"))).select(F.col("doc_id").alias("gone_id"), F.col("mark").alias("gone_mark")).distinct(), "simhash-gone")
+    again = written(found.groupBy("doc_id", "mark").count().where("count > 1").select(F.col("doc_id").alias("gone_id"), F.col("mark").alias("gone_mark")), "simhash-again")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("own_id"), F.xxhash64(F.col("text").cast("string")).alias("own_mark"))
+    same = F.col("own_id").eqNullSafe(F.col("gone_id")) & F.col("own_mark").eqNullSafe(F.col("gone_mark"))
+    rows = rows.join(gone, same, "left_anti")
+    if not again.isEmpty():
+        one = rows.join(again, same, "left_semi").groupBy("own_id", "own_mark").agg(F.any_value("row").alias("row"))
+        rows = rows.join(again, same, "left_anti").select("row").union(one.select("row"))
+    return rows.select("row.*")
