@@ -157,4 +157,5 @@ def result(docs: DataFrame) -> DataFrame:
 def keep(docs: DataFrame) -> DataFrame:
     """The documents that the rules keep, with their columns."""
     own = docs.select(F.struct("*").alias("row"), "text", *(["lang"] if "lang" in docs.columns else []))
-    return judged(own).where("_kept").select("row.*")
+    # a filter on a row number stays above the measures; pushed below, it would compute them again for each use
+    return judged(own).withColumn("_row", F.monotonically_increasing_id()).where("_kept AND _row >= 0").select("row.*")
