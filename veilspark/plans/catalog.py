@@ -1,4 +1,356 @@
 """Every query over the driver tables by name, and its SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from ..functions import category as C, dates as D, text as T
+from ..operators import birth as B, detect, entities as E, render as R, reply, spans as S, summary as A
+from ..sources import models, writers
+from ..streaming import progress as P
+from . import duck, pipeline
+from .fixtures import noted, notes, replies
+
+def as_of() -> Column:
+    return F.lit("2024-01-01").cast("date")
+
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if oracle:
+            ORACLES[name] = oracle
+        return f
+
+    return add
+
+
+def merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes with corrected, completed and numbered entities."""
+    return detect.corrected(noted(spark, sf_dir)).withColumn("entities", E.numbered(F.col("entities")))
+
+
+def rows(df: DataFrame, *names: str) -> DataFrame:
+    return A.rows(df, "note_id").select("note_id", "ord", *names)
+
+
+def values(spark: SparkSession, schema: str, *data: tuple) -> DataFrame:
+    return spark.createDataFrame(list(data), schema)
+
+
+@query("notes", duck.NOTES + "SELECT note_id, patient, national_id, birth, visit, lang, text FROM notes")
+def _(spark, d):
+    return notes(spark, d).drop("variant")
+
+
+@query("national_ids", duck.NOTES + r"SELECT note_id, 0 AS ord, unnest(list_distinct(regexp_extract_all(text, '\b[1-9]\d{10}\b'))) AS national_id FROM notes")
+def _(spark, d):
+    return notes(spark, d).select("note_id", F.posexplode(E.national_ids(F.col("text"))).alias("ord", "national_id"))
+
+
+@query("reclassify", duck.NOTED + "SELECT note_id, CAST(ord AS INTEGER) AS ord, original, category, subcategory FROM fixed")
+def _(spark, d):
+    return rows(noted(spark, d).withColumn("entities", E.reclassified(F.col("entities"))), "original", "category", "subcategory")
+
+
+@query("normalize_category", duck.categories())
+def _(spark, d):
+    return values(spark, "raw string", *[(x,) for x in duck.CATEGORY_CASES]).select("raw", C.normalize_category(F.col("raw")).alias("category"), C.normalize_category(F.col("raw"), True).alias("strict"))
+
+
+@query("parse_date", duck.date_cases())
+def _(spark, d):
+    return values(spark, "input string", *[(x,) for x in duck.DATE_CASES]).select("input", D.parse_date(F.col("input")).alias("parsed"))
+
+
+@query("parse_date_notes", duck.NOTED + f"SELECT note_id, CAST(ord AS INTEGER) AS ord, original, {duck.parse_date('original')} AS parsed FROM fixed")
+def _(spark, d):
+    return rows(noted(spark, d), "original").withColumn("parsed", D.parse_date(F.col("original")))
+
+
+def _ages(spark: SparkSession, d: str) -> DataFrame:
+    years, months = D.age_diff(F.col("birth"), F.col("visit"))
+    return notes(spark, d).select("note_id", years.alias("years"), months.alias("months"))
+
+
+AGES = duck.NOTES + f"SELECT note_id, {duck.years('birth', 'visit')} AS years, {duck.months('birth', 'visit')} AS months FROM notes"
+
+
+@query("age_diff", AGES)
+def _(spark, d):
+    return _ages(spark, d)
+
+
+def _phrase(lang: str) -> None:
+    @query(f"age_phrase_{lang}", f"SELECT note_id, {duck.phrase('years', 'months', repr(lang))} AS phrase FROM ({AGES})")
+    def _(spark, d):
+        return _ages(spark, d).select("note_id", D.age_phrase(F.col("years"), F.col("months"), F.lit(lang)).alias("phrase"))
+
+
+_phrase("en")
+_phrase("tr")
+
+
+def _birth(name: str, find: Callable[[Column, Column, Column], Column], oracle: str) -> None:
+    @query(name, duck.BIRTH + oracle)
+    def _(spark, d):
+        df = merged(spark, d).withColumn("dates", B.dated(F.col("entities"))).withColumn("scan", B.scanned(F.col("text"), as_of()))
+        return df.withColumn("found", find(F.col("dates"), F.col("text"), F.col("scan"))).select("note_id", F.col("found.birth").alias("birth"), F.col("found.ord").alias("ord"))
+
+
+@query("birth_regex", duck.BIRTH + "SELECT note_id, scan AS birth FROM scans")
+def _(spark, d):
+    return notes(spark, d).select("note_id", B.scanned(F.col("text"), as_of()).alias("birth"))
+
+
+_birth("birth_scan_entity", lambda dates, text, scan: B.by_scan(dates, scan), "SELECT note_id, birth, ord FROM s0")
+_birth("birth_subcategory", lambda dates, text, scan: B.by_subcategory(dates), "SELECT note_id, birth, ord FROM s1")
+_birth("birth_context", lambda dates, text, scan: B.by_context(dates, text), "SELECT note_id, birth, ord FROM s2")
+_birth("birth_earliest", lambda dates, text, scan: B.earliest(dates), "SELECT note_id, birth, ord FROM s3")
+_birth("birth_cascade", B.detected, "SELECT note_id, birth, ord FROM cascade")
+
+
+@query("age_conversion", duck.BIRTH + "SELECT note_id, ord, original, placeholder, detected_birth_date FROM aged")
+def _(spark, d):
+    df = pipeline.with_ages(merged(spark, d), True, as_of())
+    return df.select("note_id", "detected_birth_date", F.posexplode("entities").alias("ord", "e")).select("note_id", "ord", "e.original", "e.placeholder", "detected_birth_date")
+
+
+@query("age_override", duck.override("1980-05-17"))
+def _(spark, d):
+    df = pipeline.with_ages(merged(spark, d), True, as_of(), F.lit("17.05.1980"))
+    return df.select("note_id", "detected_birth_date", F.posexplode("entities").alias("ord", "e")).select("note_id", "ord", "e.placeholder", "detected_birth_date")
+
+
+@query("merge_supplement", duck.NOTED + "SELECT note_id, ord, original, category, subcategory, CAST(confidence AS DOUBLE) AS confidence FROM merged")
+def _(spark, d):
+    return rows(detect.corrected(noted(spark, d)), "original", "category", "subcategory", "confidence")
+
+
+@query("placeholders", duck.NOTED + "SELECT note_id, ord, original, placeholder FROM numbered")
+def _(spark, d):
+    return rows(merged(spark, d), "original", "placeholder")
+
+
+@query("manual_entity", duck.NOTED + "SELECT note_id, ord, original, placeholder FROM numbered UNION ALL SELECT note_id, CAST((SELECT count(*) FROM merged m WHERE m.note_id = n.note_id) AS INTEGER), 'is well', '[REDACTED_1]' FROM notes n")
+def _(spark, d):
+    twice = E.with_manual(E.with_manual(F.col("entities"), F.lit("is well")), F.lit("is well"))
+    return rows(merged(spark, d).withColumn("entities", twice), "original", "placeholder")
+
+
+@query("reassign_with_manual", duck.NOTED + "SELECT note_id, ord, original, placeholder FROM numbered UNION ALL SELECT note_id, CAST((SELECT count(*) FROM merged m WHERE m.note_id = n.note_id) AS INTEGER), 'is well', '[PII_1]' FROM notes n")
+def _(spark, d):
+    return rows(merged(spark, d).withColumn("entities", E.numbered(E.with_manual(F.col("entities"), F.lit("is well")))), "original", "placeholder")
+
+
+@query("delete_manual", duck.NOTED + "SELECT note_id, ord, original FROM numbered")
+def _(spark, d):
+    df = merged(spark, d).withColumn("entities", E.with_manual(F.col("entities"), F.lit("is well")))
+    return rows(df.withColumn("entities", E.without_manual(E.without_manual(F.col("entities"), F.size("entities") - 1), F.lit(0))), "original")
+
+
+@query("toggle_entity", duck.NOTED + "SELECT note_id, ord, ord <> 1 AS enabled FROM merged")
+def _(spark, d):
+    return rows(merged(spark, d).withColumn("entities", E.toggled(F.col("entities"), F.lit(1), F.lit(False))), "enabled")
+
+
+@query("toggle_category", duck.NOTED + "SELECT note_id, ord, category <> 'date' AS enabled FROM merged")
+def _(spark, d):
+    return rows(merged(spark, d).withColumn("entities", E.toggled_category(F.col("entities"), F.lit("date"), F.lit(False))), "enabled")
+
+
+@query("select_none", duck.NOTED + "SELECT note_id, ord, false AS enabled FROM merged")
+def _(spark, d):
+    return rows(merged(spark, d).withColumn("entities", E.all_set(F.col("entities"), False)), "enabled")
+
+
+@query("category_counts", duck.NOTED + "SELECT note_id, category, count(*) AS n FROM merged GROUP BY ALL")
+def _(spark, d):
+    return A.category_counts(merged(spark, d), "note_id")
+
+
+def _summary(lang: str) -> None:
+    @query(f"summary_{lang}", duck.summary(lang))
+    def _(spark, d):
+        return merged(spark, d).select("note_id", A.summary(F.col("entities"), F.lit(lang)).alias("summary"))
+
+
+_summary("en")
+_summary("tr")
+
+
+@query("enabled_summary", duck.NOTED + "SELECT note_id, (count(*) FILTER (category <> 'date')) || '/' || count(*) || ' entities enabled' AS summary FROM merged GROUP BY note_id")
+def _(spark, d):
+    return merged(spark, d).select("note_id", A.enabled_summary(E.toggled_category(F.col("entities"), F.lit("date"), F.lit(False))).alias("summary"))
+
+
+def _spanned(spark: SparkSession, d: str, age: bool = False) -> DataFrame:
+    df = merged(spark, d)
+    if age:
+        df = pipeline.with_ages(df, True, as_of())
+    return df.withColumn("spans", S.kept_spans(S.all_spans(F.col("text"), F.col("entities"))))
+
+
+@query("spans_all", duck.SPANS + 'SELECT note_id, "start", "end", ord FROM spans')
+def _(spark, d):
+    return merged(spark, d).select("note_id", F.explode(S.all_spans(F.col("text"), F.col("entities"))).alias("s")).select("note_id", "s.*")
+
+
+@query("spans_kept", duck.SPANS + 'SELECT note_id, k.s AS "start", k.e AS "end", k.o AS ord FROM (SELECT note_id, unnest(kept) AS k FROM kept)')
+def _(spark, d):
+    return _spanned(spark, d).select("note_id", F.explode("spans").alias("s")).select("note_id", "s.*")
+
+
+@query("highlight_html", duck.html(True))
+def _(spark, d):
+    return _spanned(spark, d).select("note_id", R.highlighted_html(F.col("text"), F.col("entities"), F.col("spans")).alias("html"))
+
+
+@query("redact_html", duck.html(False))
+def _(spark, d):
+    return _spanned(spark, d, True).select("note_id", R.redacted_html(F.col("text"), F.col("entities"), F.col("spans")).alias("html"))
+
+
+@query("redact_tagged", duck.redact("placeholder"))
+def _(spark, d):
+    return merged(spark, d).select("note_id", R.redacted_tagged(F.col("text"), F.col("entities")).alias("redacted"))
+
+
+@query("redact_plain", duck.redact(duck.BLOCKS))
+def _(spark, d):
+    return merged(spark, d).select("note_id", R.redacted_plain(F.col("text"), F.col("entities")).alias("redacted"))
+
+
+@query("redact_plain_ages", duck.redact(f"CASE WHEN placeholder NOT LIKE '[%' THEN placeholder ELSE {duck.BLOCKS} END", "aged"))
+def _(spark, d):
+    return pipeline.with_ages(merged(spark, d), True, as_of()).select("note_id", R.redacted_plain(F.col("text"), F.col("entities")).alias("redacted"))
+
+
+@query("redact_spans", duck.span_tags())
+def _(spark, d):
+    return merged(spark, d).select("note_id", R.redacted_spans(F.col("text"), F.col("entities")).alias("redacted"))
+
+
+def _tagged(spark: SparkSession, d: str) -> DataFrame:
+    return merged(spark, d).select("note_id", R.redacted_tagged(F.col("text"), F.col("entities")).alias("redacted"))
+
+
+@query("export_md", f"SELECT note_id, '# Redacted Document' || chr(10) || chr(10) || redacted || chr(10) || chr(10) || '---' || chr(10) || '*De-identified by veilspark*' || chr(10) AS md FROM ({duck.redact(duck.BLOCKS)})")
+def _(spark, d):
+    return merged(spark, d).select("note_id", writers.markdown(R.redacted_plain(F.col("text"), F.col("entities"))).alias("md"))
+
+
+@query("export_docx_xml", duck.docx())
+def _(spark, d):
+    return _tagged(spark, d).select("note_id", writers.docx_document(F.col("redacted")).alias("xml"))
+
+
+@query("export_pdf_layout", duck.pdf())
+def _(spark, d):
+    return writers.pdf_layout(_tagged(spark, d), "note_id", F.col("redacted"))
+
+
+@query("export_name", "SELECT * FROM (VALUES ('/a/note.txt', '/a/note_redacted.docx'), ('/a.b/note', '/a.b/note_redacted.docx'), ('x.tar.gz', 'x.tar_redacted.docx')) t(path, name)")
+def _(spark, d):
+    return values(spark, "path string", ("/a/note.txt",), ("/a.b/note",), ("x.tar.gz",)).select("path", T.export_name(F.col("path"), "docx").alias("name"))
+
+
+def _pages(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", "html")
+
+
+@query("strip_markup", duck.STRIP)
+def _(spark, d):
+    return _pages(spark, d).select("page_id", T.strip_markup(F.col("html")).alias("text"))
+
+
+@query("html_escape", "SELECT page_id, replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS escaped FROM pages")
+def _(spark, d):
+    return _pages(spark, d).select("page_id", T.html_escape(F.col("html")).alias("escaped"))
+
+
+@query("xml_escape", "SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;') AS escaped FROM pages")
+def _(spark, d):
+    return _pages(spark, d).select("page_id", T.xml_escape(F.col("html")).alias("escaped"))
+
+
+@query("think_strip", duck.reply_texts("think"))
+def _(spark, d):
+    return values(spark, "raw string", *[(x,) for x in duck.REPLY_CASES]).select("raw", T.think_strip(F.col("raw")).alias("out"))
+
+
+@query("fence_strip", duck.reply_texts("fence"))
+def _(spark, d):
+    return values(spark, "raw string", *[(x,) for x in duck.REPLY_CASES]).select("raw", T.fence_strip(F.col("raw")).alias("out"))
+
+
+@query("reply_entities")
+def _(spark, d):
+    return rows(reply.parsed(replies(spark, d)), "original", "category", "subcategory", "confidence")
+
+
+@query("reply_errors")
+def _(spark, d):
+    return reply.parsed(replies(spark, d)).groupBy("form").agg(F.count("*").alias("n"), F.count("error").alias("n_errors"), F.sum(F.size("entities")).alias("n_entities"))
+
+
+@query("truncate_input", duck.TRUNCATE)
+def _(spark, d):
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.length(T.truncate_input(F.col("text"), 2000)).alias("n"))
+
+
+FILES = (("/m/Qwen3-Q4_K_M.gguf", 5_870_000_000), ("/m/other-f16.gguf", 14_000_000_000), ("/m/plain.gguf", 2_000_000_000), ("/n/qwen-big.gguf", 13_000_000_000), ("/n/mid.gguf", 8_000_000_000), ("/n/readme.txt", 10), ("/n/Qwen_Qwen3.5-9B-Q4_K_M.gguf", 1_000_001))
+
+
+@query("model_inventory", duck.inventory(FILES))
+def _(spark, d):
+    return models.inventory(values(spark, "path string, length long", *FILES))
+
+
+@query("model_catalog", "SELECT * FROM (VALUES ('9b', 'Qwen 3.5 9B', 'Qwen_Qwen3.5-9B-Q4_K_M.gguf', CAST(5.87 AS DOUBLE), true, true), ('27b', 'Qwen 3.5 27B', 'Qwen_Qwen3.5-27B-Q4_K_M.gguf', 17.13, false, false), ('35b-a3b', 'Qwen 3.5 35B-A3B', 'Qwen3.5-35B-A3B-Q4_K_M.gguf', 21.0, false, false)) t(id, name, filename, size_gb, downloaded, active)")
+def _(spark, d):
+    return models.catalogue_status(models.catalogue(spark), values(spark, "path string, length long", *FILES), "9b")
+
+
+def _chunks(spark: SparkSession, d: str) -> DataFrame:
+    ev = spark.read.parquet(f"{d}/events.parquet").select("event_id", "ts", "user_id", "value")
+    return ev.select(F.col("user_id").alias("download_id"), "ts", (F.col("value") * 1000).cast("long").alias("bytes"), F.col("event_id").alias("seq"))
+
+
+@query("progress", duck.PROGRESS)
+def _(spark, d):
+    return P.progress(_chunks(spark, d)).select("download_id", "seq", "downloaded", "total", F.round("percent", 6).alias("percent"))
+
+
+@query("progress_throttled")
+def _(spark, d):
+    return P.throttled(P.progress(_chunks(spark, d)))
+
+
+@query("corpus_rollup", duck.NOTED + "SELECT lang, category, count(*) AS n, count(*) AS n_enabled FROM merged GROUP BY CUBE (lang, category)")
+def _(spark, d):
+    return A.corpus_rollup(merged(spark, d), "lang")
+
+
+@query("scan_replies")
+def _(spark, d):
+    return pipeline.scan(replies(spark, d), detect.ReplyColumnDetector(), True, as_of()).select("note_id", "summary", "detected_birth_date", "redacted_html", "error")
+
+
+@query("recalc", duck.NOTED + "SELECT note_id, count(*) || '/' || count(*) || ' entities enabled' AS summary FROM merged GROUP BY note_id")
+def _(spark, d):
+    return pipeline.recalc(merged(spark, d), False, as_of()).select("note_id", "summary")
+
+
+@query("export_files")
+def _(spark, d):
+    df = merged(spark, d)
+    made = [writers.exported(df, "note_id", f).select("note_id", F.lit(f).alias("format"), F.octet_length("content").alias("n_bytes")) for f in writers.FORMATS]
+    return made[0].union(made[1]).union(made[2]).union(made[3])
