@@ -20,9 +20,14 @@ def enabled_summary(ents: Column) -> Column:
     return F.concat(F.size(F.filter(ents, lambda e: e["enabled"])).cast("string"), F.lit("/"), F.size(ents).cast("string"), F.lit(" entities enabled"))
 
 
+def exploded(df: DataFrame, array: Column, *keys: str) -> DataFrame:
+    """(keys, ord, e) for each element. The outer form: the inner one would add a filter on the array's size, which goes below the projections and computes the array again."""
+    return df.select(*keys, F.posexplode_outer(array).alias("ord", "e")).where("ord IS NOT NULL")
+
+
 def rows(df: DataFrame, key: str, ents: str = "entities") -> DataFrame:
     """One row for each entity: key, ord and its fields."""
-    return df.select(key, F.posexplode(ents).alias("ord", "e")).select(key, "ord", "e.*")
+    return exploded(df, F.col(ents), key).select(key, "ord", "e.*")
 
 
 def category_counts(df: DataFrame, key: str, ents: str = "entities") -> DataFrame:
@@ -31,4 +36,4 @@ def category_counts(df: DataFrame, key: str, ents: str = "entities") -> DataFram
 
 def corpus_rollup(df: DataFrame, by: str, ents: str = "entities") -> DataFrame:
     """An addition: entities by a column and category, with subtotals."""
-    return df.select(by, F.explode(ents).alias("e")).cube(by, F.col("e.category").alias("category")).agg(F.count("*").alias("n"), F.count_if(F.col("e.enabled")).alias("n_enabled"))
+    return exploded(df, F.col(ents), by).cube(by, F.col("e.category").alias("category")).agg(F.count("*").alias("n"), F.count_if(F.col("e.enabled")).alias("n_enabled"))

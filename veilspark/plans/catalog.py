@@ -52,7 +52,7 @@ def _(spark, d):
 
 @query("national_ids", duck.NOTES + r"SELECT note_id, 0 AS ord, unnest(list_distinct(regexp_extract_all(text, '\b[1-9]\d{10}\b'))) AS national_id FROM notes")
 def _(spark, d):
-    return notes(spark, d).select("note_id", F.posexplode(E.national_ids(F.col("text"))).alias("ord", "national_id"))
+    return A.exploded(notes(spark, d), E.national_ids(F.col("text")), "note_id").withColumnRenamed("e", "national_id")
 
 
 @query("reclassify", duck.NOTED + "SELECT note_id, CAST(ord AS INTEGER) AS ord, original, category, subcategory FROM fixed")
@@ -120,13 +120,13 @@ _birth("birth_cascade", B.detected, "SELECT note_id, birth, ord FROM cascade")
 @query("age_conversion", duck.BIRTH + "SELECT note_id, ord, original, placeholder, detected_birth_date FROM aged")
 def _(spark, d):
     df = pipeline.with_ages(merged(spark, d), True, as_of())
-    return df.select("note_id", "detected_birth_date", F.posexplode("entities").alias("ord", "e")).select("note_id", "ord", "e.original", "e.placeholder", "detected_birth_date")
+    return A.exploded(df, F.col("entities"), "note_id", "detected_birth_date").select("note_id", "ord", "e.original", "e.placeholder", "detected_birth_date")
 
 
 @query("age_override", duck.override("1980-05-17"))
 def _(spark, d):
     df = pipeline.with_ages(merged(spark, d), True, as_of(), F.lit("17.05.1980"))
-    return df.select("note_id", "detected_birth_date", F.posexplode("entities").alias("ord", "e")).select("note_id", "ord", "e.placeholder", "detected_birth_date")
+    return A.exploded(df, F.col("entities"), "note_id", "detected_birth_date").select("note_id", "ord", "e.placeholder", "detected_birth_date")
 
 
 @query("merge_supplement", duck.NOTED + "SELECT note_id, ord, original, category, subcategory, CAST(confidence AS DOUBLE) AS confidence FROM merged")
@@ -200,12 +200,12 @@ def _spanned(spark: SparkSession, d: str, age: bool = False) -> DataFrame:
 
 @query("spans_all", duck.SPANS + 'SELECT note_id, "start", "end", ord FROM spans')
 def _(spark, d):
-    return merged(spark, d).select("note_id", F.explode(S.all_spans(F.col("text"), F.col("entities"))).alias("s")).select("note_id", "s.*")
+    return A.exploded(merged(spark, d), S.all_spans(F.col("text"), F.col("entities")), "note_id").select("note_id", "e.*")
 
 
 @query("spans_kept", duck.SPANS + 'SELECT note_id, k.s AS "start", k.e AS "end", k.o AS ord FROM (SELECT note_id, unnest(kept) AS k FROM kept)')
 def _(spark, d):
-    return _spanned(spark, d).select("note_id", F.explode("spans").alias("s")).select("note_id", "s.*")
+    return A.exploded(_spanned(spark, d), F.col("spans"), "note_id").select("note_id", "e.*")
 
 
 @query("highlight_html", duck.html(True))

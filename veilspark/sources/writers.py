@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import xml_escape
 from ..operators.render import redacted_plain, redacted_tagged
+from ..operators.summary import exploded
 
 FORMATS = ("txt", "md", "pdf", "docx")
 #: Page layout of the PDF export: A4 in millimetres, 10 point, lines 4.5 mm apart.
@@ -44,7 +45,7 @@ def docx_document(redacted: Column) -> Column:
 
 def pdf_layout(df: DataFrame, key: str, redacted: Column) -> DataFrame:
     """(key, ord, page, y, line): where each line goes, y in tenths of a millimetre."""
-    out = df.select(key, F.posexplode(lines(redacted)).alias("ord", "line"))
+    out = exploded(df, lines(redacted), key).withColumnRenamed("e", "line")
     row = F.col("ord") % LINES
     return out.select(key, "ord", F.expr(f"ord div {LINES}").cast("int").alias("page"), (F.lit(int(10 * TOP)) - row * int(10 * PITCH)).cast("int").alias("y"), "line")
 
