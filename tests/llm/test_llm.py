@@ -404,7 +404,8 @@ def test_distances(spark):
     assert got[0] == pytest.approx(math.sqrt(0.5)) and got[1] == 0
     plan = rules.result(spark.createDataFrame([(1, "a", "en")], "doc_id long, text string, lang string"))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
-    shout = spark.createDataFrame([(1, "THE WORDS! " * 3 + " ".join(f"WORD{i}" for i in range(300)), "en"), (2, " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}rd the q{chr(97 + i % 26)}{chr(97 + i // 26)}x of" for i in range(200)), "en")], "doc_id long, text string, lang string")
+    prose = " ".join("the" if i % 16 == 0 else "of" if i % 31 == 0 else f"{chr(97 + i % 26)}{chr(97 + i // 26)}word," for i in range(400))
+    shout = spark.createDataFrame([(1, "THE WORDS! " * 3 + " ".join(f"WORD{i}" for i in range(300)), "en"), (2, prose, "en")], "doc_id long, text string, lang string")
     assert {x.doc_id: (x.base_failed, x.kept) for x in rules.result(shout).collect()} == {1: (False, False), 2: (False, True)}
 
 
