@@ -28,6 +28,8 @@ def test_read_and_export(spark, tmp_path):
     assert got["scan.png"][1] == "unsupported file format: .png" and got["nozip.docx"][0] is None and got["nozip.docx"][1]
     assert got["out.docx"] == ("[NAME_1] & (co)\nend", None)  # an empty paragraph tag ends no line
     assert got["out.pdf"][0].startswith("[NAME_1] & (co)")
+    writers.save(df, "id", "md", str(tmp_path / "saved"))
+    assert (tmp_path / "saved" / "1_redacted.md").read_bytes() == made["md"] and len(list((tmp_path / "saved").iterdir())) == 1
     with pytest.raises(ValueError):
         writers.exported(df, "id", "xls")
 

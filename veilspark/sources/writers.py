@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import io
+import os
+import uuid
 import zipfile
 from collections.abc import Iterator
 
@@ -100,3 +102,18 @@ def exported(df: DataFrame, key: str, fmt: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array([None if b is None else make(b) for b in batch.column("body").to_pylist()], pa.binary())], [key, "content"])
 
     return made.mapInArrow(run, made.select(key).schema.add("content", "binary"))
+
+
+def save(df: DataFrame, key: str, fmt: str, folder: str) -> None:
+    """One file <key>_redacted.<fmt> for each document, in a folder that is mounted on all executors. A file appears whole or not at all, and a task that runs again writes the same."""
+
+    def write(rows) -> None:
+        for r in rows:
+            name = os.path.join(folder, f"{str(r[key]).replace(os.sep, '_')}_redacted.{fmt}")
+            part = f"{name}.{uuid.uuid4().hex}.part"
+            with open(part, "wb") as f:
+                f.write(r["content"])
+            os.replace(part, name)
+
+    os.makedirs(folder, exist_ok=True)
+    exported(df, key, fmt).foreachPartition(write)
