@@ -278,6 +278,40 @@ def test_automaton_is_a_distribution(spark):
     assert auto.walk(text) == pytest.approx(total)
 
 
+def test_scores_are_those_of_all_ngrams_seen_twice(spark):
+    """Two copies of a passage among 800,000 other tokens: its n-grams are arcs, whatever their share of the corpus."""
+    r = random.Random(0)
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    pair = [i for i in range(1000) if not held(i)][:2]
+    rare = " ".join(f"rare{i}" for i in range(40))
+    rows = [(i, " ".join(f"w{int(r.random() ** 3 * 3000)}" for _ in range(1000)) + (f" {rare}" if i in pair else "")) for i in range(1000)] + [(5000, rare), (5001, None), (5002, "w1 w2 never")]
+    got = {x.doc_id: x for x in lm.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    grams, after = collections.Counter(), collections.defaultdict(dict)
+    of = lambda t: ["\n", *WORD.findall((t or "").translate(LOW)), "\n"]
+    for i, t in rows:
+        w = of(t)
+        if not held(i):
+            grams.update((x,) for x in w[1:])
+            grams.update(zip(w, w[1:]))
+            grams.update(zip(w, w[1:], w[2:]))
+    for g, n in grams.items():
+        if len(g) > 1 and n >= 2:
+            after[g[:-1]][g[-1]] = n
+    n, v = sum(c for g, c in grams.items() if len(g) == 1), sum(len(g) == 1 for g in grams)
+
+    def p(ctx, w):
+        if not ctx:
+            return (grams[(w,)] + 0.5) / (n + 0.5 * (v + 1))
+        arcs, lower = after.get(ctx, {}), p(ctx[1:], w)
+        of_ctx = grams[ctx]
+        return (arcs[w] - 0.5 if w in arcs else 0) / max(of_ctx, 1) + (1 - sum(c - 0.5 for c in arcs.values()) / max(of_ctx, 1)) * lower
+
+    for i in (1, 2, *pair, 5000, 5001, 5002):
+        w = of(dict(rows)[i])
+        want = sum(math.log10(p(tuple(w[max(0, k - 2) : k]), w[k])) for k in range(1, len(w)))
+        assert got[i].score == pytest.approx(want, abs=1e-6), i
+
+
 # 6
 
 

@@ -1,18 +1,18 @@
 """Language-model scores by a weighted backoff automaton over words.
 
-Counts of all training words are exact and stay distributed. N-grams of order 2 and 3 whose
-training count is at least GRAM_SHARE of all training tokens (and 2) become arcs; there are
-at most 1 / GRAM_SHARE of each order, and at most 1 / SHARE words that reach SHARE, so the
-automaton has a proven size and is broadcast. They are
-found exactly: an n-gram that reaches the share over all tokens reaches it in some chunk of
-tokens, so chunks name candidates and a second pass counts these. Smoothing is absolute
-discounting interpolated with the lower order down to the add-half unigrams, so each
-state's probabilities sum to one. A state is the longest context that has arcs; an arc that
-is missing is replaced by the state's failure arc, whose weight is its backoff.
-
-One walk over a text carries the state and adds up weights. Words below SHARE are not in the
-automaton: the walk goes to the root there, and their unigram weights, which need the
-distributed counts, are joined in afterwards.
+Every n-gram of order 2 and 3 that occurs at least LEAST times in the training texts is an
+arc, at any corpus size. Smoothing is absolute discounting interpolated with the lower order
+down to the add-half unigrams, so each state's probabilities sum to one. A state is the
+longest context that has arcs; an arc that is missing is replaced by the state's failure
+arc, whose weight is its backoff.
+
+Nothing is gathered or broadcast: the automaton lies in shards by key, and texts in chunks
+of tokens. A chunk sends each shard its distinct keys with their counts, once, and gets the
+counts over all chunks back in the same order; likewise, in a second round, the backoffs of
+the contexts that can have arcs. A text's walk is then a few vector operations over its
+chunk: the weight of a word is that of the longest arc, or of the backoffs passed.
+
+`Automaton` is the same model in one piece, for tables that fit the driver.
 """
 
 from __future__ import annotations
@@ -29,10 +29,10 @@ from .shared import written
 from .textbytes import LOWER, P1, P2, buffer, slices, words, xxh64
 
 ORDER = 3
-SHARE = 2.0**-20
-GRAM_SHARE = 2.0**-18
+LEAST = 2
 DISCOUNT = 0.5
-CHUNK = 4_000_000
+CHUNK = 2_000_000
+SHARD = 4_000_000
 BLOCK = 2_000_000
 END = np.uint64(0x9E6C63D0876A9A47)  #: stands for the end of a text; any value that is no word's hash
 
@@ -189,36 +189,178 @@ class Automaton:
         return weight
 
 
-def _score(batches: Iterator[pa.RecordBatch], held) -> Iterator[pa.RecordBatch]:
-    auto: Automaton = held.value
-    rid = TaskContext.get().partitionId() << 33
-    known = len(auto.words)
+CHUNKS = "chunk long, ids array<long>, held array<boolean>, n array<int>, vocab binary, at binary, tokens long, train long"
+ASKED = "chunk long, ord int, shard int, keys binary, vals binary"
+TOLD = "chunk long, ord int, shard int, vals binary, distinct long"
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as tokens, CHUNK and a little more to a row: the distinct tokens, and each token's place among them."""
+    one = lambda x, kind: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x.cast(kind))
+    chunk = TaskContext.get().partitionId() << 33
+
+    def flush(rows: list) -> pa.RecordBatch:
+        t, n = np.concatenate([x[0] for x in rows]), np.concatenate([x[1] for x in rows])
+        ids, held = pa.concat_arrays([x[2] for x in rows]), pa.concat_arrays([x[3] for x in rows])
+        vocab, at, count = np.unique(t, return_inverse=True, return_counts=True)
+        often = np.argsort(-count, kind="stable")  # small numbers for frequent tokens: bytes that compress
+        rank = np.empty(len(often), np.uint32)
+        rank[often] = np.arange(len(often))
+        return pa.RecordBatch.from_arrays(
+            [pa.array([chunk]), one(ids, pa.int64()), one(held, pa.bool_()), one(pa.array(n), pa.int32()), pa.array([vocab[often].tobytes()], pa.binary()), pa.array([_planes(rank[at], 4)], pa.binary()), pa.array([len(t)]), pa.array([int(n[~held.to_numpy(zero_copy_only=False)].sum())])],
+            ["chunk", "ids", "held", "n", "vocab", "at", "tokens", "train"],
+        )
+
+    rows, size = [], 0
     for batch in batches:
-        for rows in slices(batch, "text"):
-            t, n = tokens(rows.column("text"))
-            if known:
-                at = np.minimum(np.searchsorted(auto.words, t), known - 1)
-                inside = auto.words[at] == t
-            else:
-                at, inside = np.zeros(len(t), np.int64), np.zeros(len(t), bool)
-            upto = np.cumsum(n)
-            begin = upto - n
-            weight = np.where(inside, auto.log_count[at] if known else 0.0, 0.0)
-            base = np.add.reduceat(weight, begin)
-            here = np.add.reduceat(inside.astype(np.int64), begin)
-            index = np.where(inside, at, -1).tolist()
-            model = [auto.walk(index[a:b]) for a, b in zip(begin.tolist(), upto.tolist(), strict=True)]
-            rare = t[~inside].view(np.int64)
-            cut = np.concatenate([[0], np.cumsum(n - here)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(rid, rid + len(n))), rows.column("doc_id"), rows.column("held_out"), pa.array(n.astype(np.int64)), pa.array(here), pa.array(base), pa.array(model), pa.ListArray.from_arrays(pa.array(cut), pa.array(rare))],
-                ["rid", "doc_id", "held_out", "n_tokens", "known", "base", "model", "rare"],
-            )
-            rid += len(n)
-
-
-def train(docs: DataFrame, order: int = ORDER, share: float = SHARE, gram_share: float = GRAM_SHARE) -> tuple[Automaton, DataFrame]:
-    """The automaton, and the counts (key, n) of all words of docs (text string)."""
+        for part in slices(batch, "text"):
+            rows.append((*tokens(part.column("text")), part.column("doc_id"), part.column("held_out")))
+            size += len(rows[-1][0])
+            if size >= CHUNK:
+                yield flush(rows)
+                chunk, rows, size = chunk + 1, [], 0
+    if rows:
+        yield flush(rows)
+
+
+class Chunk:
+    """A row of the table of chunks. keys: for each order the sorted distinct n-grams and the place of each token's among them; valid: whether the n-gram lies in the text; ctx: from order 2 on, the place of each token's context among the keys one order lower."""
+
+    def __init__(self, row: dict, order: int):
+        self.chunk, self.ids = row["chunk"], row["ids"]
+        self.held, self.n = np.array(row["held"], bool), np.array(row["n"], np.int64)
+        vocab, at = np.unique(np.frombuffer(row["vocab"], np.uint64), return_inverse=True)
+        at = at.astype(np.uint32)[_unplaned(row["at"], 4)]
+        self.train = np.repeat(~self.held, self.n)
+        self.keys, self.valid, self.ctx = [(vocab, at)], [np.ones(len(at), bool)], []
+        first = np.cumsum(self.n) - self.n
+        for key, valid in ngrams(vocab[at], self.n, order)[1:]:
+            before = np.roll(self.keys[-1][1], 1)
+            if not self.ctx:
+                before[first] = np.searchsorted(vocab, END)
+            self.ctx.append(before)
+            key[~valid] = 0
+            u, i = np.unique(key, return_inverse=True)
+            self.keys.append((u, i.astype(np.uint32)))
+            self.valid.append(valid)
+
+    def told(self, rows: pa.Table, kind: str) -> list[np.ndarray]:
+        """What the shards said, for each order in the order of the keys that were asked."""
+        of: dict[int, list] = {}
+        for k, shard, vals, n in sorted(zip(rows["ord"].to_pylist(), rows["shard"].to_pylist(), rows["vals"].to_pylist(), rows["distinct"].to_pylist(), strict=True)):
+            of.setdefault(k, []).append(_array(vals, kind))
+        return [np.concatenate(of[k]) for k in sorted(of)]
+
+    def counted(self, k: int, weights: np.ndarray) -> np.ndarray:
+        u, at = self.keys[k]
+        return np.bincount(at, weights=weights, minlength=len(u))
+
+
+def _blob(x: np.ndarray) -> bytes:
+    """Kind and values; counts in as few bytes as hold the largest."""
+    if x.dtype.kind == "u":
+        x = x.astype(np.min_scalar_type(x.max(initial=0)))
+    return bytes([x.itemsize]) + x.tobytes()
+
+
+def _planes(x: np.ndarray, width: int) -> bytes:
+    """The lowest bytes of all numbers, then the next ones."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize)[:, :width].T).tobytes()
+
+
+def _unplaned(blob: bytes, width: int, kind: type = np.uint32) -> np.ndarray:
+    planes = np.frombuffer(blob, np.uint8).reshape(width, len(blob) // width)
+    out = np.zeros((planes.shape[1], np.dtype(kind).itemsize), np.uint8)
+    out[:, :width] = planes.T
+    return out.view(kind)[:, 0]
+
+
+def _sorted_blob(u: np.ndarray) -> bytes:
+    """Sorted keys, one at least, as the first and the steps to the next in as few bytes as hold the largest."""
+    step = np.diff(u)
+    width = max(1, (int(step.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + u[:1].tobytes() + _planes(step, width)
+
+
+def _sorted_array(blob: bytes) -> np.ndarray:
+    return np.cumsum(np.concatenate([np.frombuffer(blob, np.uint64, 1, 1), _unplaned(blob[9:], blob[0], np.uint64)]), dtype=np.uint64)
+
+
+def _array(blob: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(blob[1:], f"{kind}{blob[0]}")
+
+
+def _asked(chunk: int, asked: list[tuple[np.ndarray, np.ndarray]], shards: int) -> pa.Table:
+    """Rows of ASKED: for each order the sorted keys and their values, cut by shard. A shard is a range of keys."""
+    edges = np.array([(i << 64) // shards for i in range(shards)], np.uint64)
+    rows = []
+    for k, (u, vals) in enumerate(asked):
+        cut = [*np.searchsorted(u, edges).tolist(), len(u)]
+        rows += [(k + 1, i, _sorted_blob(u[a:b]), _blob(vals[a:b])) for i, (a, b) in enumerate(zip(cut, cut[1:])) if a < b]
+    column = lambda j, kind: pa.array([r[j] for r in rows], kind)
+    return pa.table({"chunk": pa.array([chunk] * len(rows), pa.int64()), "ord": column(0, pa.int32()), "shard": column(1, pa.int32()), "keys": column(2, pa.binary()), "vals": column(3, pa.binary())})
+
+
+def _totals(rows: pa.Table, kind: str) -> pa.Table:
+    """For a shard: sums over all chunks, in each chunk's own order of keys; distinct, on one row: keys with a sum."""
+    rows = rows.take(np.argsort(rows["chunk"].to_numpy()))  # sums do not depend on the order of arrival
+    keys = [_sorted_array(x) for x in rows["keys"].to_pylist()]
+    vals = np.concatenate([_array(x, kind) for x in rows["vals"].to_pylist()])
+    at = np.unique(np.concatenate(keys), return_inverse=True)[1]
+    total = np.bincount(at, weights=vals)
+    out = np.split(total.astype(np.uint64 if kind == "u" else np.float64)[at], np.cumsum([len(x) for x in keys])[:-1])
+    distinct = np.zeros(len(keys), np.int64)
+    distinct[0] = np.count_nonzero(total)
+    return pa.table({"chunk": rows["chunk"], "ord": rows["ord"], "shard": rows["shard"], "vals": pa.array([_blob(x) for x in out], pa.binary()), "distinct": pa.array(distinct)})
+
+
+def _ask_counts(batches: Iterator[pa.RecordBatch], order: int, shards: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            c = Chunk(batch.slice(i, 1).to_pylist()[0], order)
+            yield from _asked(c.chunk, [(u, c.counted(k, c.train & c.valid[k]).astype(np.uint64)) for k, (u, _) in enumerate(c.keys)], shards).to_batches()
+
+
+def _ask_backoffs(left: pa.Table, right: pa.Table, order: int, shards: int) -> pa.Table:
+    """A context's backoff is the mean, over its training occurrences, of what the discount takes from the next token: all of it where that is no arc."""
+    c = Chunk(left.to_pylist()[0], order)
+    n = c.told(right, "u")
+    asked = []
+    for k in range(1, order):
+        free = np.where(n[k] >= LEAST, DISCOUNT / np.maximum(n[k], 1), 1.0)[c.keys[k][1]]
+        mass = np.bincount(c.ctx[k - 1], weights=free * (c.train & c.valid[k]), minlength=len(n[k - 1]))
+        can = n[k - 1] >= LEAST  # a rarer context has no arcs
+        asked.append((c.keys[k - 1][0][can], mass[can]))
+    return _asked(c.chunk, asked, shards)
+
+
+def _score(left: pa.Table, right: pa.Table, order: int, log_total: float) -> pa.Table:
+    c = Chunk(left.to_pylist()[0], order)
+    first = right["first"].to_numpy(zero_copy_only=False)
+    n = c.told(right.filter(pa.array(first)), "u")
+    asked = right.filter(pa.array(~first))
+    masses = dict(zip(sorted(set(asked["ord"].to_pylist())), c.told(asked, "f"), strict=True))
+    log_p = np.log10(n[0] + 0.5)[c.keys[0][1]] - log_total
+    p, base = 10.0**log_p, log_p
+    for k in range(1, order):
+        ctx, seen = c.ctx[k - 1], n[k][c.keys[k][1]]
+        can = n[k - 1] >= LEAST
+        backoff = np.ones(len(can))
+        backoff[can] = masses.get(k, np.zeros(0)) / n[k - 1][can]
+        arc = np.where(seen >= LEAST, (seen - DISCOUNT) / np.maximum(n[k - 1], 1)[ctx], 0.0)
+        p = np.where(c.valid[k], arc + backoff[ctx] * p, p)
+    begin = np.cumsum(c.n) - c.n
+    whole = lambda x: pa.array(np.add.reduceat(x, begin))
+    known = whole((n[0] > 0)[c.keys[0][1]].astype(np.int64))
+    return pa.table({"doc_id": pa.array(c.ids, pa.int64()), "held_out": pa.array(c.held), "n_tokens": pa.array(c.n), "n_known": known, "base_score": whole(base), "score": whole(np.log10(p))})
+
+
+def train(docs: DataFrame, order: int = ORDER, share: float = 0.0, gram_share: float = 0.0) -> tuple[Automaton, DataFrame]:
+    """The automaton in one piece, and the counts (key, n) of all words of docs (text string).
+
+    For tables that fit the driver. Words below `share` of all tokens, and n-grams below
+    `gram_share`, are left out; by default none is that occurs LEAST times.
+    """
     if gram_share < share:
         raise ValueError("an n-gram's words must be in the automaton")
     docs = docs.select("text")
@@ -228,7 +370,7 @@ def train(docs: DataFrame, order: int = ORDER, share: float = SHARE, gram_share:
     gathered = written(gathered, "lm-grams")
     one = gathered.where("ord = 1").select("key", "n")
     total, distinct = one.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    often = one.where(F.col("n") >= max(1, math.ceil(share * total))).toArrow()  # at most 1 / share rows
+    often = one.where(F.col("n") >= max(1, math.ceil(share * total))).toArrow()
     keys, counts = often["key"].to_numpy().view(np.uint64), often["n"].to_numpy()
     order_by = np.argsort(keys)
     keys, counts = keys[order_by], counts[order_by]
@@ -239,14 +381,14 @@ def train(docs: DataFrame, order: int = ORDER, share: float = SHARE, gram_share:
         part = candidates.where(F.pmod(F.xxhash64("key"), F.lit(-(-n // BLOCK))) == i)
         block = np.unique(part.select("key").toArrow()["key"].to_numpy().view(np.uint64))
         known = docs.sparkSession.sparkContext.broadcast(block)
-        exact = docs.mapInArrow(lambda it, known=known: _count(it, order, known), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= max(2, math.ceil(gram_share * total)))
-        found = part.drop("n").join(exact, "key").select("ord", "key", "ctx", "word", "suffix", "n").toArrow()  # at most 1 / gram_share rows of each order
+        exact = docs.mapInArrow(lambda it, known=known: _count(it, order, known), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= max(LEAST, math.ceil(gram_share * total)))
+        found = part.drop("n").join(exact, "key").select("ord", "key", "ctx", "word", "suffix", "n").toArrow()
         whole = [found[c].to_numpy().view(np.uint64).tolist() for c in ("key", "ctx", "word", "suffix")]
         grams += zip(found["ord"].to_pylist(), *whole, found["n"].to_pylist(), strict=True)
     return Automaton(keys, counts, total, distinct, grams), one
 
 
-def score(docs: DataFrame, order: int = ORDER, share: float = SHARE, gram_share: float = GRAM_SHARE) -> DataFrame:
+def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of docs.
 
     Learns from the rows that are not held out (crc32 of doc_id as text, modulo 5, is not 1;
@@ -255,17 +397,19 @@ def score(docs: DataFrame, order: int = ORDER, share: float = SHARE, gram_share:
     every token is unknown and has probability one half over one half. Extra columns are
     left alone. Words are told apart by 64-bit hashes.
     """
-    spark = docs.sparkSession
+    if order < 2:
+        raise ValueError("order 1 has no arcs")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("held_out", F.expr(HELD_OUT))
-    auto, counts = train(docs.where(~F.col("held_out")), order, share, gram_share)
-    held = spark.sparkContext.broadcast(auto)
-    schema = "rid long, doc_id long, held_out boolean, n_tokens long, known long, base double, model double, rare array<long>"
-    scored = written(docs.mapInArrow(lambda it: _score(it, held), schema), "lm-scores")
-    rare = scored.select("rid", F.explode("rare").alias("key"))
-    found = rare.join(counts, "key", "left").groupBy("rid").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.5))).alias("part"), F.count("n").alias("more"), F.count("*").alias("terms"))
-    log_total = F.lit(auto.log_total)
-    part, more, terms = (F.coalesce(c, F.lit(0)) for c in ("part", "more", "terms"))
-    return scored.drop("rare").join(found, "rid", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") + more).alias("n_known"), F.lit(auto.total).cast("long").alias("train_tokens"),
-        (F.col("base") + part - F.col("n_tokens") * log_total).alias("base_score"), (F.col("model") + part - terms * log_total).alias("score"),
-    )
+    chunks = written(docs.mapInArrow(_chunks, CHUNKS), "lm-chunks")
+    size, total = chunks.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("train"), F.lit(0))).first()
+    shards = max(1, size // SHARD)
+    asked = chunks.mapInArrow(lambda it: _ask_counts(it, order, shards), ASKED)
+    counts = written(asked.groupBy("ord", "shard").applyInArrow(lambda t: _totals(t, "u"), TOLD), "lm-counts", freed=True)
+    distinct = counts.where("ord = 1").agg(F.coalesce(F.sum("distinct"), F.lit(0))).first()[0]
+    log_total = math.log10(total + 0.5 * (distinct + 1))
+    asked = chunks.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(lambda x, y: _ask_backoffs(x, y, order, shards), ASKED)
+    masses = written(asked.groupBy("ord", "shard").applyInArrow(lambda t: _totals(t, "f"), TOLD), "lm-backoffs", freed=True)
+    told = counts.withColumn("first", F.lit(True)).union(masses.withColumn("first", F.lit(False)))
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+    scored = chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(lambda x, y: _score(x, y, order, log_total), schema)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
