@@ -215,6 +215,26 @@ def test_deficit_round_robin():
     assert big.rank(np.array([0, 1]), np.array([10**13 - 1, 10**13 - 1])).tolist() == [2 * 10**13 - 1, pytest.approx(1.333e13, rel=1e-2)]
 
 
+def test_each_of_many_sources_has_a_queue(spark):
+    df = spark.createDataFrame([(i, f"text {i} " * 150, f"s{i % 300}") for i in range(600)], "doc_id long, text string, source string")
+    rows = packing.pack(df, {"s0": 50, "s1": 1}).collect()
+    assert {(x.doc_id, x.queue) for x in rows} == {(i, f"s{i % 300}") for i in range(600)}
+    first = collections.Counter()
+    for x in rows:
+        if x.sequence_id == 0:
+            first[x.queue] += x.length
+    assert first["s0"] > first["s1"] > 0  # given weights hold
+
+
+def test_ranks_of_many_queues(monkeypatch):
+    r = random.Random(1)
+    slots, weights = [r.randint(0, 9) for _ in range(90)], [r.randint(1, 50) for _ in range(90)]
+    q, j = np.repeat(np.arange(90), slots), np.concatenate([np.arange(x) for x in slots])
+    ranks = packing.Schedule(slots, [0] * 90, weights).rank(q, j)
+    monkeypatch.setattr(packing, "MANY", 1000)
+    assert ranks.tolist() == packing.Schedule(slots, [0] * 90, weights).rank(q, j).tolist() and sorted(ranks) == list(range(len(q)))
+
+
 def test_packing(docs, none):
     import public_tokenizers as P
     from tokenizers import Tokenizer

@@ -29,7 +29,7 @@ from .textbytes import slices
 WINDOW = 2048
 GRANULE = 256
 END = 1
-MAX_QUEUES = 256
+MANY = 64
 CACHED = 400_000
 UNSAFE = re.compile(r"\s | \s")
 SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
@@ -134,6 +134,8 @@ class Schedule:
 
     def rank(self, queue: np.ndarray, slot: np.ndarray) -> np.ndarray:
         """The place of full slots in the sequence of all slots."""
+        if len(self.slots) > MANY:
+            return self._rank_of_many(queue, slot)
         out = np.zeros(len(slot), np.int64)
         for s in np.unique(queue):
             at = np.flatnonzero(queue == s)
@@ -147,6 +149,20 @@ class Schedule:
                     out[at] += self.sent(o, r if o < s else r - 1)
         return out
 
+    def _rank_of_many(self, queue: np.ndarray, slot: np.ndarray) -> np.ndarray:
+        """The same, all queues at once for each slot."""
+        out = np.zeros(len(slot), np.int64)
+        pace = [self.per_window * w for w in self.weights]
+        slots, heavy, most = np.asarray(self.slots, np.int64), max(pace), 1 << 62
+        for i, (s, j) in enumerate(zip(queue.tolist(), slot.tolist(), strict=True)):
+            r = -(-(j + 1) * self.total // pace[s])
+            by = np.asarray(pace, object if r * heavy >= most else np.int64)
+            rounds = np.full(len(slots), r - 1, by.dtype)
+            rounds[:s] = r
+            sent = np.minimum(rounds * by // self.total, slots).astype(np.int64)
+            out[i] = j + sent.sum() - sent[s]
+        return out
+
     def place(self, queue: np.ndarray, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
         """For documents at token `at` of their queues, n tokens long: row, start, length, sequence and offset of each piece."""
         g = self.granule
@@ -192,13 +208,10 @@ def _pieces(batches: Iterator[pa.RecordBatch], plan) -> Iterator[pa.RecordBatch]
             )
 
 
-def queues_of(docs: DataFrame, most: int = MAX_QUEUES) -> DataFrame:
-    """docs as (doc_id, text, queue): the source, or a bucket of sources where there are more than `most`."""
+def queues_of(docs: DataFrame) -> DataFrame:
+    """docs as (doc_id, text, queue): a queue for each source, however many there are."""
     source = F.coalesce(F.col("source").cast("string"), F.lit("")) if "source" in docs.columns else F.lit("")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), source.alias("queue"))
-    if docs.select("queue").distinct().limit(most + 1).count() > most:
-        docs = docs.withColumn("queue", F.pmod(F.xxhash64("queue"), F.lit(most)).cast("string"))
-    return docs
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), source.alias("queue"))
 
 
 def pack(docs: DataFrame, weights: dict[str, int] | None = None, window: int = WINDOW, granule: int = GRANULE, path: str | None = None, pattern: str | None = None, end: int = END) -> DataFrame:
@@ -222,7 +235,7 @@ def pack(docs: DataFrame, weights: dict[str, int] | None = None, window: int = W
     groups = sums.groupBy("queue", "g").agg(F.sum("n").alias("n")).select("queue", "g", F.coalesce(F.sum("n").over(across), F.lit(0)).alias("ahead"))
     before = sums.withColumn("here", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(groups, ["queue", "g"]).select("part", "queue", (F.col("ahead") + F.col("here")).alias("before"))
     before = written(before, "packing-before")
-    totals = sums.groupBy("queue").agg(F.sum("n").alias("n")).orderBy("queue").collect()  # at most MAX_QUEUES rows
+    totals = sums.groupBy("queue").agg(F.sum("n").alias("n")).orderBy("queue").collect()  # a row for each source
     slots, tails = [r.n // granule for r in totals], [r.n % granule for r in totals]
     least = min((weights or {0: 1}).values())
     shares = [weights.get(r.queue, least) for r in totals] if weights else [max(1, x) for x in slots]
