@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from . import audio, htmlx, lm, packing, pii, quality, rules, simhash, spm, urlfilter
 from .shared import documents, pages
 
+MIXTURE = 0.7  #: op4 packs under the sources' tokens to this power, a mixture that is not the corpus's own
+
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.result(documents(spark, sf_dir))
@@ -23,7 +25,7 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(documents(spark, sf_dir)).withColumnRenamed("queue", "source")
+    return packing.pack(documents(spark, sf_dir), MIXTURE).withColumnRenamed("queue", "source")
 
 
 def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,4 +67,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op3_url_filter": urlfilter.ORACLE,
+    "op9_quality_rules": rules.ORACLE,
 }
