@@ -1,14 +1,15 @@
 """Sampled SentencePiece segmentations.
 
-A text is cut into chunks, each beginning at a space and at most LONGEST characters long.
-The pieces that cover a chunk form a lattice. Filtering forward gives the weight of all
-ways to reach each character boundary; sampling backward from the end picks each piece in
-proportion to the ways through it, which draws a segmentation exactly from the lattice's
-distribution. A file's merge ranks stand for frequencies: the piece of rank r weighs
-(1 / (r + 2)) ** alpha. Characters without a piece become byte pieces. Random numbers are a
-function of the row key, the chunk's place and the step, so a row gives the same pieces on
-any executor. Filtering runs once for each different chunk of a batch, sampling for all
-chunks at once.
+A text is cut where no piece can reach across: before a space that follows another
+character. The pieces that cover such a chunk, whatever its length, form a lattice. Filtering
+forward gives the weight of all ways to reach each character boundary; sampling backward from
+the end picks each piece in proportion to the ways through it, which draws a segmentation
+exactly from the lattice's distribution. A file's merge ranks stand for frequencies: the
+piece of rank r weighs (1 / (r + 2)) ** alpha. Characters without a piece become byte pieces.
+Random numbers are a function of the row key, the chunk's place and the step, so a row gives
+the same pieces on any executor. Filtering runs once for each different short chunk of a
+batch, and for longer ones side by side; a chunk past BLOCK is filtered in blocks that hand
+on the weights of their last boundaries, and sampled from its last block to its first.
 """
 
 from __future__ import annotations
@@ -23,7 +24,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from .textbytes import slices, xxh64
 
-LONGEST = 24
+SHORT = 24  #: chunks up to here are filtered once for each different one
+BLOCK = 2048
+GROUP = 60_000  #: characters that are filtered side by side
 SLOTS = 18
 ALPHA = 1.0
 MARK = 0x2581  #: stands for a space in pieces
@@ -52,8 +55,9 @@ class Pieces:
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
                 text[i] = p.replace("▁", " ").encode()
                 codes = [ord(c) for c in p]
-                if len(codes) <= LONGEST and MARK not in codes[1:]:
-                    found[self.hash(codes)] = (i, (1.0 / (2.0 - sp.get_score(i))) ** alpha, len(codes))
+                if any(a != MARK and b == MARK for a, b in zip(codes, codes[1:])):
+                    raise ValueError("a piece that reaches from a word into the space behind it")
+                found[self.hash(codes)] = (i, (1.0 / (2.0 - sp.get_score(i))) ** alpha, len(codes))
         self.text = text
         keys = np.array(sorted(found), np.uint64)
         self.keys = keys
@@ -95,8 +99,8 @@ class Pieces:
         return out.reshape(h.shape)
 
 
-def filtered(codes: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
-    """For chunks of one length: (chunk, end, length - 1) cumulative chances that the piece that ends there has at most that length, and its piece's index (-1: bytes)."""
+def filtered(codes: np.ndarray, pieces: Pieces, begun: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For chunks side by side: (chunk, end, length - 1) cumulative chances that the piece that ends there has at most that length, its piece's index (-1: bytes), and the weights of the boundaries, each last few of which share a scale. begun: the weights of the first boundaries, where the codes go on from an earlier block."""
     m, n = codes.shape
     most = min(n, pieces.longest)
     at = np.full((m, n + 1, most), -1, np.int32)
@@ -112,19 +116,23 @@ def filtered(codes: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]
                 w[found < 0] = BYTE_WEIGHT
             weight[:, k:, k - 1] = w
     alpha = np.zeros((m, n + 1))
-    alpha[:, 0] = 1
-    for j in range(1, n + 1):
+    if begun is None:
+        begun = np.ones((m, 1))
+    alpha[:, : begun.shape[1]] = begun
+    for j in range(begun.shape[1], n + 1):
         k = min(j, most)
         weight[:, j, :k] *= alpha[:, j - k : j][:, ::-1]
         alpha[:, j] = weight[:, j, :k].sum(1)
         weight[:, j] = np.cumsum(weight[:, j], axis=1) / alpha[:, j, None]
-    return weight, at
+        if j % 8 == 0:  # only ratios of the last boundaries count from here on
+            alpha[:, max(0, j - most + 1) : j + 1] /= alpha[:, j, None].copy()
+    return weight, at, alpha
 
 
-def uniform(key: np.ndarray, step: int) -> np.ndarray:
+def uniform(key: np.ndarray, step: int | np.ndarray) -> np.ndarray:
     """Numbers in [0, 1) from 64-bit keys and a step."""
     with np.errstate(over="ignore"):
-        x = key + np.uint64(step + 1) * BASE
+        x = key + np.asarray(step + 1).astype(np.uint64) * BASE
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         x ^= x >> np.uint64(31)
@@ -135,14 +143,38 @@ def chunks(codes: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     """Starts, lengths and texts of the chunks of texts that lie end to end."""
     n = len(codes)
     first = np.zeros(n + 1, bool)
+    first[1:-1] = (codes[1:] == MARK) & (codes[:-1] != MARK)
     first[offs] = True
-    first[:-1] |= codes == MARK
-    s = np.flatnonzero(first[:-1]) if n else np.zeros(0, np.int64)
-    size = np.diff(np.append(s, n))
-    k = -(-size // LONGEST)
-    begin = np.repeat(s, k) + LONGEST * (np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k))
-    size = np.minimum(LONGEST, np.repeat(s + size, k) - begin)
-    return begin, size, np.searchsorted(offs, begin, side="right") - 1
+    begin = np.flatnonzero(first[:-1]) if n else np.zeros(0, np.int64)
+    return begin, np.diff(np.append(begin, n)), np.searchsorted(offs, begin, side="right") - 1
+
+
+def sampled_in_blocks(codes: np.ndarray, key: np.uint64, pieces: Pieces, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
+    """One chunk of any length: for each step from its end, where the piece begins and its index (-1: bytes)."""
+    reach = pieces.longest
+    starts = list(range(0, len(codes), block))
+    begun: list[np.ndarray | None] = [None]  # weights of the boundaries up to each block's start
+
+    def of(i: int) -> tuple[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        lo = max(0, starts[i] - reach)
+        return lo, filtered(codes[None, lo : starts[i] + block], pieces, begun[i])
+
+    for i in range(len(starts) - 1):
+        lo, (_, _, alpha) = of(i)
+        begun.append(alpha[:, max(0, starts[i + 1] - reach) - lo : starts[i + 1] - lo + 1])
+    pos, step, froms, found, chance = len(codes), 0, [], [], []
+    for i in range(len(starts) - 1, -1, -1):
+        lo, (cum, at, _) = of(i)
+        while pos > starts[i]:
+            if step % 4096 == 0:
+                chance = uniform(key, np.arange(step, step + 4096)).tolist()
+            row = cum[0, pos - lo]
+            k = min(int(np.searchsorted(row, chance[step % 4096], side="right")), min(pos - lo, len(row)) - 1)
+            found.append(at[0, pos - lo, k])
+            pos -= k + 1
+            froms.append(pos)
+            step += 1
+    return np.array(froms, np.int64), np.array(found, np.int64)
 
 
 def segment(texts: list[str], keys: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
@@ -157,30 +189,48 @@ def segment(texts: list[str], keys: np.ndarray, pieces: Pieces) -> tuple[np.ndar
     place = np.arange(len(begin)) - np.searchsorted(doc, doc)
     with np.errstate(over="ignore"):
         seed = keys.astype(np.uint64)[doc] * np.uint64(0xD6E8FEB86659FD93) ^ (place.astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
-    h = xxh64(codes.tobytes(), 4 * begin, 4 * size)
-    got = []  # (chunk, place from its end, piece or bytes of a character)
+    got = []  # (chunk, step from its end, piece or bytes of a character)
     count = np.zeros(len(begin), np.int64)
-    for n in np.unique(size):
-        group = np.flatnonzero(size == n)
+
+    def sample(cum: np.ndarray, at: np.ndarray, live: np.ndarray, row: np.ndarray) -> None:
+        pos, step = size[live], 0
+        while len(live):
+            k = (cum[row, pos] <= uniform(seed[live], step)[:, None]).sum(1)
+            k = np.minimum(k, np.minimum(pos, cum.shape[2]) - 1)
+            found = at[row, pos, k]
+            pos = pos - k - 1
+            got.append((live, np.full(len(live), step), np.where(found >= 0, pieces.ids[found], -1 - (begin[live] + pos))))
+            count[live] += 1
+            step += 1
+            more = pos > 0
+            live, row, pos = live[more], row[more], pos[more]
+
+    short = np.flatnonzero(size <= SHORT)
+    h = np.zeros(len(begin), np.uint64)
+    h[short] = xxh64(codes.tobytes(), 4 * begin[short], 4 * size[short])
+    for n in np.unique(size[short]):
+        group = short[size[short] == n]
         _, one, of = np.unique(h[group], return_index=True, return_inverse=True)
         step_of = max(1, 2_000_000 // (int(n) + 1) // min(int(n), pieces.longest))
         order = np.argsort(of, kind="stable")
         cuts = np.searchsorted(of[order], np.arange(0, len(one) + step_of, step_of))
         for b, (lo, hi) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
             some = one[b * step_of : (b + 1) * step_of]
-            cum, at = filtered(codes[begin[group[some]][:, None] + np.arange(n)], pieces)
-            live, row = group[order[lo:hi]], of[order[lo:hi]] - b * step_of
-            pos, step = np.full(len(live), n), 0
-            while len(live):
-                k = (cum[row, pos] <= uniform(seed[live], step)[:, None]).sum(1)
-                k = np.minimum(k, np.minimum(pos, cum.shape[2]) - 1)
-                found = at[row, pos, k]
-                pos = pos - k - 1
-                got.append((live, np.full(len(live), step), np.where(found >= 0, pieces.ids[found], -1 - (begin[live] + pos))))
-                count[live] += 1
-                step += 1
-                more = pos > 0
-                live, row, pos = live[more], row[more], pos[more]
+            cum, at, _ = filtered(codes[begin[group[some]][:, None] + np.arange(n)], pieces)
+            sample(cum, at, group[order[lo:hi]], of[order[lo:hi]] - b * step_of)
+    longer = np.flatnonzero((size > SHORT) & (size <= BLOCK))
+    longer = longer[np.argsort(size[longer], kind="stable")]
+    while len(longer):
+        fit = np.flatnonzero(size[longer] * (np.arange(len(longer)) + 1) <= GROUP)
+        live, longer = longer[: len(fit) or 1], longer[len(fit) or 1 :]
+        n = int(size[live].max())
+        side = np.minimum(begin[live][:, None] + np.arange(n), len(codes) - 1)  # what lies behind a chunk is not looked at
+        cum, at, _ = filtered(codes[side], pieces)
+        sample(cum, at, live, np.arange(len(live)))
+    for c in np.flatnonzero(size > BLOCK).tolist():
+        froms, found = sampled_in_blocks(codes[begin[c] : begin[c] + size[c]], seed[c], pieces)
+        got.append((np.full(len(froms), c), np.arange(len(froms)), np.where(found >= 0, pieces.ids[found], -1 - (begin[c] + froms))))
+        count[c] = len(froms)
     upto = np.cumsum(count)
     flat = np.empty(int(upto[-1]), np.int64)
     for live, step, piece in got:
@@ -242,7 +292,8 @@ def encode(docs: DataFrame, seed: int = 0, alpha: float = ALPHA, path: str | Non
 
     A null or empty text has no ids, a null doc_id draws like a row of its own key, rows that
     repeat a doc_id draw under the same key, an empty table gives no rows, extra columns are
-    left alone. decode() gives each text back exactly.
+    left alone. A run without spaces is one lattice, however long. decode() gives each text
+    back exactly.
     """
     file = _file(docs, path, alpha)
 
