@@ -1,16 +1,18 @@
 """SimHash near-duplicates found with BK-trees.
 
-Equal fingerprints meet first, in one aggregation with a partial sum. Different ones
-that link differ in at most `radius` bits, so of BLOCKS blocks of the 64 bits at least
-BLOCKS - radius agree: each fingerprint goes to one shard for every pair of blocks, the
-shard being that pair's bits. A shard's BK-tree (children keyed by their integer Hamming
-distance to the parent) answers all its fingerprints at once and follows only edges
-within the radius. Trees are built where their shard is, not broadcast: a tree over all
-fingerprints grows with the corpus, and with random 64-bit keys a radius of 4 still
-follows most edges of it. A shard past SHARD fingerprints is cut into chunks, and each
-pair of chunks becomes a task of its own, so no link is lost and no task is unbounded.
-A shard passes on a spanning forest of its links, never all its pairs; components over
-these edges come from min-label propagation on tables in the shared folder.
+Equal fingerprints meet first, in one aggregation with a partial sum. Different ones that
+link differ in at most `radius` bits, so of radius + k blocks of the 64 bits at least k
+agree: each fingerprint goes to one shard for every choice of k blocks, the shard being
+these blocks' bits. k is the least number that keeps a shard at about SHARD / 4 fingerprints
+on average, whatever the size of the corpus; the links are the same under each. A shard's
+BK-tree (children keyed by their integer Hamming distance to the parent) answers all its
+fingerprints at once and follows only edges within the radius. Trees are built where their
+shard is, not broadcast: a tree over all fingerprints grows with the corpus, and with random
+64-bit keys a radius of 4 still follows most edges of it. A shard past SHARD fingerprints is
+cut into chunks, and each pair of chunks becomes a task of its own, so no link is lost and
+no task is unbounded. A shard passes on a spanning forest of its links, never all its pairs;
+components over these edges come from min-label propagation on tables in the shared folder,
+each freed once the next is written.
 """
 
 from __future__ import annotations
@@ -22,12 +24,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import written
+from .shared import forget, written
 from .textbytes import LOWER, buffer, joined, slices, xxh64
 
 RADIUS = 4
-WIDTHS = (11, 11, 11, 11, 10, 10)
 SHARD = 4096
+TOGETHER = 20_000
+PAIRS = 1_000_000  #: a block of queries has trees of about so many nodes in all
 
 
 def fingerprints_of(column: pa.Array, n: int = 4) -> np.ndarray:
@@ -63,16 +66,19 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("mark")).mapInArrow(_fingerprint, "doc_id long, mark long, fp long")
 
 
-class BKTree:
-    """A BK-tree over distinct 64-bit values, built and searched level by level with numpy."""
+class BKTrees:
+    """BK-trees over 64-bit values, built and searched level by level with numpy, many trees at once: values of one tree lie together, `of` is the tree of each."""
 
-    def __init__(self, values: np.ndarray):
+    def __init__(self, values: np.ndarray, of: np.ndarray):
         self.values = values
         m = len(values)
+        new = np.ones(m, bool)
+        new[1:] = of[1:] != of[:-1]
+        self.roots, self.trees = np.flatnonzero(new), of[new]
         self.first, self.n = np.zeros(m, np.int64), np.zeros(m, np.int64)  # a node's children lie in `child` from first, n of them
         kids, edges, filled = [], [], 0
-        rest = np.arange(1, m)
-        parent = np.zeros(len(rest), np.int64)
+        rest = np.flatnonzero(~new)
+        parent = self.roots[np.cumsum(new) - 1][rest]
         while len(rest):
             d = np.bitwise_count(values[rest] ^ values[parent]).astype(np.int64)
             order = np.lexsort((rest, d, parent))
@@ -90,9 +96,11 @@ class BKTree:
         self.child = np.concatenate(kids) if kids else np.zeros(0, np.int64)
         self.edge = np.concatenate(edges) if edges else np.zeros(0, np.int64)
 
-    def within(self, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (query, node) at a distance of at most radius."""
-        q, node = np.arange(len(queries)), np.zeros(len(queries), np.int64)
+    def within(self, queries: np.ndarray, of: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (query, node) at a distance of at most radius; of: the tree that each query asks."""
+        at = np.minimum(np.searchsorted(self.trees, of), len(self.trees) - 1)
+        q = np.flatnonzero(self.trees[at] == of)
+        node = self.roots[at[q]]
         found_q, found_n = [], []
         while len(q):
             d = np.bitwise_count(queries[q] ^ self.values[node]).astype(np.int64)
@@ -103,97 +111,99 @@ class BKTree:
             at = np.repeat(self.first[node] - (np.cumsum(k) - k), k) + np.arange(k.sum())
             ok = np.abs(self.edge[at] - np.repeat(d, k)) <= radius
             q, node = np.repeat(q, k)[ok], self.child[at[ok]]
-        return np.concatenate(found_q), np.concatenate(found_n)
+        return (np.concatenate(found_q), np.concatenate(found_n)) if found_q else (q, node)
+
+
+def forest(values: np.ndarray, of: np.ndarray, queries: np.ndarray, asked: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (a, b) that connect what the links between queries and the values of the trees they ask connect; of and asked are sorted."""
+    if not len(values) or not len(queries):
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    trees = BKTrees(values, of)
+    known = np.unique(np.concatenate([values, queries]))
+    root, tree_at, query_at = np.arange(len(known)), np.searchsorted(known, values), np.searchsorted(known, queries)
+    size = np.searchsorted(of, asked, side="right") - np.searchsorted(of, asked, side="left")
+    block = np.cumsum(size) // PAIRS
+    for at in np.split(np.arange(len(queries)), np.flatnonzero(np.diff(block)) + 1):
+        q, node = trees.within(queries[at], asked[at], radius)
+        a, b = query_at[at[q]], tree_at[node]
+        while True:  # the larger root goes under the smaller, until both ends of every link have one root
+            x, y = root[a], root[b]
+            apart = x != y
+            if not apart.any():
+                break
+            np.minimum.at(root, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+            while (up := root[root]).tobytes() != root.tobytes():
+                root = up
+    out = np.flatnonzero(root != np.arange(len(root)))
+    return known[out], known[root[out]]
 
 
-def forest(tree_values: np.ndarray, queries: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Edges that connect what the links between queries and tree values connect."""
-    tree, root, edges = BKTree(tree_values), {}, []
-
-    def find(x: int) -> int:
-        while root.setdefault(x, x) != x:
-            root[x] = x = root[root[x]]
-        return x
-
-    for at in range(0, len(queries), 256):
-        part = queries[at : at + 256]
-        q, node = tree.within(part, radius)
-        a, b = part[q], tree_values[node]
-        keep = a != b
-        if not keep.any():
-            continue
-        pairs = np.unique(np.stack([a[keep], b[keep]], 1), axis=0)
-        for x, y in pairs.tolist():
-            rx, ry = find(x), find(y)
-            if rx != ry:
-                root[max(rx, ry)] = min(rx, ry)
-    for x in list(root):
-        if (r := find(x)) != x:
-            edges.append((x, r))
-    return edges
+def _shards(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by (pair, shard, l, r); side 0 is the tree's, side 1 asks, side 2 does both. Whole shards are searched together, about TOGETHER rows at a time."""
 
+    def done(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        fp, side, of = (np.concatenate(x) for x in zip(*parts, strict=True))
+        fp, tree, ask = fp.view(np.uint64), side != 1, side != 0
+        a, b = forest(fp[tree], of[tree], fp[ask], of[ask], radius)
+        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
-def _shards(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by (shard, left, right); side 0 is the tree's, side 1 asks, side 2 does both."""
-    def done(fp: np.ndarray, side: np.ndarray) -> list[tuple[int, int]]:
-        fp = fp.view(np.uint64)
-        tree, ask = fp[side != 1], fp[side != 0]
-        if not len(tree) or not len(ask) or len(fp) < 2:
-            return []
-        if len(fp) == 2:
-            return [(int(fp.max()), int(fp.min()))] if fp[0] != fp[1] and int(fp[0] ^ fp[1]).bit_count() <= radius else []
-        return forest(np.unique(tree), np.unique(ask), radius)
-
-    def out(edges: list[tuple[int, int]]) -> pa.RecordBatch:
-        x = np.array(edges, np.uint64).reshape(-1, 2).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(x[:, 0].copy()), pa.array(x[:, 1].copy())], ["a", "b"])
-
-    held: list[tuple] = []
-    last, edges = None, []
+    held: list[tuple[np.ndarray, ...]] = []
+    last, number, rows = None, 0, 0
     for batch in batches:
+        if not batch.num_rows:
+            continue
         key = np.stack([np.asarray(batch.column(c)) for c in ("pair", "shard", "l", "r")], 1)
         fp, side = np.asarray(batch.column("fp")), np.asarray(batch.column("side"))
-        if not len(fp):
-            continue
-        cut = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
-        for s, e in zip([0, *cut.tolist()], [*cut.tolist(), len(fp)], strict=True):
-            this = tuple(key[s].tolist())
-            if this != last and held:
-                edges += done(np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held]))
-                held = []
-            last = this
-            held.append((fp[s:e], side[s:e]))
-        if len(edges) > 50_000:
-            yield out(edges)
-            edges = []
+        new = np.ones(len(fp), bool)
+        new[1:] = (key[1:] != key[:-1]).any(1)
+        new[0] = last is None or tuple(key[0].tolist()) != last
+        last = tuple(key[-1].tolist())
+        of = number + np.cumsum(new)
+        number = int(of[-1])
+        if rows >= TOGETHER and new.any():  # all shards but the batch's last one are whole
+            cut = int(np.flatnonzero(new)[-1])
+            yield done([*held, (fp[:cut], side[:cut], of[:cut])])
+            held, rows, fp, side, of = [], 0, fp[cut:], side[cut:], of[cut:]
+        held.append((fp, side, of))
+        rows += len(fp)
     if held:
-        edges += done(np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held]))
-    yield out(edges)
+        yield done(held)
+
+
+def agreeing(n: int, radius: int, mean: int = SHARD // 4) -> int:
+    """How many of radius + k blocks must agree so that shards of n random fingerprints hold about `mean` at most."""
+    k = 1
+    while k < 64 - radius and n >> (64 * k // (radius + k)) > mean:
+        k += 1
+    return k
 
 
-def shard_keys(fp: str = "fp") -> F.Column:
-    """An array of (pair, shard) for a fingerprint: one for each pair of blocks."""
-    blocks, at = [], 0
-    for w in WIDTHS:
-        blocks.append(F.shiftrightunsigned(F.col(fp), at).bitwiseAND(F.lit((1 << w) - 1).cast("long")))
-        at += w
-    return F.array(*[F.struct(F.lit(i).alias("pair"), (F.shiftleft(blocks[x], 11) + blocks[y]).alias("shard")) for i, (x, y) in enumerate(combinations(range(len(WIDTHS)), 2))])
+def shard_keys(k: int, radius: int, fp: str = "fp") -> F.Column:
+    """An array of (pair, shard) for a fingerprint: one for each choice of k of radius + k blocks."""
+    n = radius + k
+    ends = [64 * i // n for i in range(n + 1)]
+    blocks = [(F.shiftrightunsigned(F.col(fp), a).bitwiseAND(F.lit((1 << b - a) - 1).cast("long")), b - a) for a, b in zip(ends, ends[1:])]
+    keys = []
+    for i, some in enumerate(combinations(blocks, k)):
+        shard = F.lit(0).cast("long")
+        for x, width in some:
+            shard = F.shiftleft(shard, width).bitwiseOR(x)
+        keys.append(F.struct(F.lit(i).alias("pair"), shard.alias("shard")))
+    return F.array(*keys)
 
 
 def links(fps: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD) -> DataFrame:
     """Edges (a, b) over the distinct fingerprints in column fp; together they connect exactly what links of at most `radius` bits connect."""
-    if radius > len(WIDTHS) - 2:
-        raise ValueError(f"at most {len(WIDTHS) - 2} bits")
-    keyed = fps.select("fp", F.explode(shard_keys()).alias("k")).select("fp", "k.pair", "k.shard")
-    sizes = written(keyed.groupBy("pair", "shard").agg(F.count("*").alias("n")).where("n > 1"), "simhash-shards")
-    keyed = keyed.join(sizes, ["pair", "shard"])
-    chunks = F.ceil(F.col("n") / F.lit(shard_rows)).cast("int")
+    keyed = fps.select("fp", F.explode(shard_keys(agreeing(fps.count(), radius), radius)).alias("k")).select("fp", "k.pair", "k.shard")
+    large = written(keyed.groupBy("pair", "shard").agg(F.count("*").alias("n")).where(F.col("n") > shard_rows), "simhash-large")
+    keyed = keyed.join(large, ["pair", "shard"], "left")
+    chunks = F.coalesce(F.ceil(F.col("n") / F.lit(shard_rows)), F.lit(1)).cast("int")
     keyed = keyed.withColumn("chunks", chunks).withColumn("c", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
     each = F.transform(
         F.sequence(F.lit(0), F.col("chunks") - 1),
         lambda o: F.struct(F.least(o, F.col("c")).alias("l"), F.greatest(o, F.col("c")).alias("r"), F.when(o == F.col("c"), 2).when(o > F.col("c"), 0).otherwise(1).alias("side")),
     )
-    tasks = keyed.select("pair", "shard", "fp", F.explode(each).alias("x")).select("pair", F.col("shard").cast("long").alias("shard"), "x.l", "x.r", "x.side", "fp")
+    tasks = keyed.select("pair", "shard", "fp", F.explode(each).alias("x")).select("pair", "shard", "x.l", "x.r", "x.side", "fp")
     n = max(12, int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     tasks = tasks.repartition(n, "pair", "shard", "l", "r").sortWithinPartitions("pair", "shard", "l", "r")
     return tasks.mapInArrow(lambda it: _shards(it, radius), "a long, b long")
@@ -205,12 +215,14 @@ def components(edges: DataFrame) -> DataFrame:
     edges = written(edges, "simhash-edges")
     both = edges.union(edges.select("b", "a"))
     labels = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).select(F.col("a").alias("fp"), "root"), "simhash-labels")
+    held = labels
     while True:
         near = both.join(labels.select(F.col("fp").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("near"))
         step = labels.join(near, labels.fp == near.a).select("fp", "root", F.least("root", "near").alias("to"))
         jump = labels.select(F.col("fp").alias("to"), F.col("root").alias("far"))
         new = written(step.join(jump, "to", "left").select("fp", F.least("to", F.coalesce("far", "to")).alias("root"), (F.least("to", F.coalesce("far", "to")) != F.col("root")).alias("moved")), "simhash-labels")
-        labels = new.select("fp", "root")
+        forget(held)
+        held, labels = new, new.select("fp", "root")
         if new.where("moved").isEmpty():
             return labels
 
