@@ -86,6 +86,7 @@ class Tree:
 def parse(page: str) -> Tree:
     t = Tree()
     stack: list[tuple[str, int, bool]] = [("", t.add("html", -1, frozenset()), False)]  # tag, node, dropped
+    open_at: dict[str, list[int]] = {}  # where elements of a name stand in the stack
     gap, link, at = True, 0, 0
 
     def text(raw: str) -> None:
@@ -110,14 +111,16 @@ def parse(page: str) -> Tree:
         for tag, _, _ in stack[i:]:
             gap |= tag in BLOCK
             link -= tag == "a"
+            open_at[tag].pop()
         del stack[i:]
 
+    def innermost(names: set[str] | frozenset) -> int:
+        return max((x[-1] for n in names if (x := open_at.get(n))), default=0)
+
     def close(names: set[str], limits: set[str] | frozenset = frozenset()) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i][0] in names:
-                return pop_to(i)
-            if stack[i][0] in limits:
-                return None
+        i = innermost(names)
+        if i and i > innermost(limits):
+            pop_to(i)
 
     while m := TOKEN.search(page, at):
         text(page[at : m.start()])
@@ -131,14 +134,14 @@ def parse(page: str) -> Tree:
         if m["close"] or m["close2"]:
             if tag == "br":
                 gap = True
-            elif tag == "p" and not any(x[0] == "p" for x in stack):
+            elif tag == "p" and not open_at.get("p"):
                 gap = True
             else:
                 close({tag})
             continue
         attrs = m["attrs"] or m["attrs2"] or ""
-        if tag in BLOCK and tag != "html" and stack[-1][2] and (i := next((i for i, x in enumerate(stack) if x[0] == "head"), 0)):
-            pop_to(i)
+        if tag in BLOCK and tag != "html" and stack[-1][2] and (x := open_at.get("head")):
+            pop_to(x[0])
         if tag in CLOSES_P:
             close({"p"}, {"td", "th", "table", "button"})
         for name, by in ENDED.items():
@@ -165,6 +168,7 @@ def parse(page: str) -> Tree:
         if not gone and (block and tag != "html" or groups):
             node = t.add(tag if block else "inline", node, groups)
         if not attrs.rstrip().endswith("/") or tag in BLOCK or tag == "a":
+            open_at.setdefault(tag, []).append(len(stack))
             stack.append((tag, node, gone))
     text(page[at:])
     return t
