@@ -31,8 +31,8 @@ from .textbytes import LOWER, P1, P2, buffer, slices, words, xxh64
 ORDER = 3
 LEAST = 2
 DISCOUNT = 0.5
-CHUNK = 2_000_000
-SHARD = 4_000_000
+CHUNK = 1_000_000
+SHARD = 2_000_000
 BLOCK = 2_000_000
 END = np.uint64(0x9E6C63D0876A9A47)  #: stands for the end of a text; any value that is no word's hash
 
