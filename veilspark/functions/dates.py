@@ -62,7 +62,7 @@ def _parsed(t: Column) -> Column:
         day = F.lit(1) if d is None else part(d).try_cast("int")
         made = F.when(year.between(FIRST_YEAR, LAST_YEAR), calendar(year, month, day)) if kind == "year" else calendar(year, month, day)
         found.append(F.when(t.rlike(pattern), made))
-    return F.coalesce(*found)
+    return F.when(t.rlike(r"(?U)\d"), F.coalesce(*found))
 
 
 def age_diff(birth: Column, event: Column) -> tuple[Column, Column]:

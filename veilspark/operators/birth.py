@@ -37,13 +37,14 @@ def scanned(text: Column, as_of: Column) -> Column:
 
 
 def dated(ents: Column) -> Column:
-    """(birth, ord, category, subcategory, original) of all entities; birth is the date that an entity's text gives."""
-    return F.transform(ents, lambda e, i: F.struct(parse_date(e["original"]).alias("birth"), i.alias("ord"), e["category"].alias("category"), e["subcategory"].alias("subcategory"), e["original"].alias("original")))
+    """(birth, ord, category, subcategory, original) of all entities; birth is the date that the text of a date, or of a birth subcategory, gives."""
+    asked = lambda e: (e["category"] == "date") | F.coalesce(F.lower(e["subcategory"]).isin(*SUBCATEGORIES), F.lit(False))
+    return F.transform(ents, lambda e, i: F.struct(F.when(asked(e), parse_date(e["original"])).alias("birth"), i.alias("ord"), e["category"].alias("category"), e["subcategory"].alias("subcategory"), e["original"].alias("original")))
 
 
 def _first(dates: Column, test) -> Column:
-    hit = F.get(F.filter(dates, lambda d: d["birth"].isNotNull() & test(d)), F.lit(0))
-    return F.when(hit.isNotNull(), F.struct(hit["birth"].alias("birth"), hit["ord"].alias("ord")).cast(FOUND))
+    hits = F.filter(dates, lambda d: d["birth"].isNotNull() & test(d))
+    return F.get(F.transform(hits, lambda d: F.struct(d["birth"].alias("birth"), d["ord"].alias("ord"))), F.lit(0)).cast(FOUND)  # the hits are read once
 
 
 def by_scan(dates: Column, scan: Column) -> Column:

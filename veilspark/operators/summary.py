@@ -37,3 +37,8 @@ def category_counts(df: DataFrame, key: str, ents: str = "entities") -> DataFram
 def corpus_rollup(df: DataFrame, by: str, ents: str = "entities") -> DataFrame:
     """An addition: entities by a column and category, with subtotals."""
     return exploded(df, F.col(ents), by).cube(by, F.col("e.category").alias("category")).agg(F.count("*").alias("n"), F.count_if(F.col("e.enabled")).alias("n_enabled"))
+
+
+def entity_table(df: DataFrame, key: str) -> DataFrame:
+    """(key, row, original, category, placeholder, percent): entities as a numbered list, confidence in whole per cent."""
+    return rows(df, key).select(key, (F.col("ord") + 1).alias("row"), "original", "category", "placeholder", F.round(F.col("confidence") * 100).cast("int").alias("percent"))

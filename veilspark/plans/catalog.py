@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions import category as C, dates as D, text as T
 from ..operators import birth as B, detect, entities as E, render as R, reply, spans as S, summary as A
 from ..sources import models, writers
+from ..sources.tables import table
 from ..streaming import progress as P
 from . import duck, pipeline
 from .fixtures import noted, notes, replies
@@ -263,7 +264,7 @@ def _(spark, d):
 
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", "html")
+    return table(spark, d, "pages").select("page_id", "html")
 
 
 @query("strip_markup", duck.STRIP)
@@ -291,19 +292,24 @@ def _(spark, d):
     return values(spark, "raw string", *[(x,) for x in duck.REPLY_CASES]).select("raw", T.fence_strip(F.col("raw")).alias("out"))
 
 
-@query("reply_entities")
+@query("reply_entities", duck.REPLY_ENTITIES)
 def _(spark, d):
     return rows(reply.parsed(replies(spark, d)), "original", "category", "subcategory", "confidence")
 
 
-@query("reply_errors")
+@query("reply_errors", duck.REPLY_ERRORS)
 def _(spark, d):
     return reply.parsed(replies(spark, d)).groupBy("form").agg(F.count("*").alias("n"), F.count("error").alias("n_errors"), F.sum(F.size("entities")).alias("n_entities"))
 
 
+@query("entity_table", duck.NOTED + "SELECT note_id, CAST(ord + 1 AS INTEGER) AS row, original, category, placeholder, CAST(round(confidence * 100) AS INTEGER) AS percent FROM numbered")
+def _(spark, d):
+    return A.entity_table(merged(spark, d), "note_id")
+
+
 @query("truncate_input", duck.TRUNCATE)
 def _(spark, d):
-    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.length(T.truncate_input(F.col("text"), 2000)).alias("n"))
+    return table(spark, d, "documents").select("doc_id", F.length(T.truncate_input(F.col("text"), 2000)).alias("n"))
 
 
 FILES = (("/m/Qwen3-Q4_K_M.gguf", 5_870_000_000), ("/m/other-f16.gguf", 14_000_000_000), ("/m/plain.gguf", 2_000_000_000), ("/n/qwen-big.gguf", 13_000_000_000), ("/n/mid.gguf", 8_000_000_000), ("/n/readme.txt", 10), ("/n/Qwen_Qwen3.5-9B-Q4_K_M.gguf", 1_000_001))
@@ -320,7 +326,7 @@ def _(spark, d):
 
 
 def _chunks(spark: SparkSession, d: str) -> DataFrame:
-    ev = spark.read.parquet(f"{d}/events.parquet").select("event_id", "ts", "user_id", "value")
+    ev = table(spark, d, "events").select("event_id", "ts", "user_id", "value")
     return ev.select(F.col("user_id").alias("download_id"), "ts", (F.col("value") * 1000).cast("long").alias("bytes"), F.col("event_id").alias("seq"))
 
 

@@ -218,3 +218,17 @@ t AS (SELECT download_id, CAST(sum(bytes) AS BIGINT) AS total FROM c GROUP BY do
 SELECT download_id, seq, downloaded, total, round(CASE WHEN total > 0 THEN least(downloaded / total * 100, 100.0) ELSE 0.0 END, 6) AS percent
 FROM (SELECT download_id, seq, CAST(sum(bytes) OVER (PARTITION BY download_id ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS downloaded FROM c) JOIN t USING (download_id)
 """
+
+
+#: What each form of made-up reply must give, from the rules for replies: well-formed ones (0-3) all three entities, one with a
+#: trailing comma (4) or cut off in its last object (5) the two before, a flat one (6) and one with words around it (8) an entity
+#: for each key in the keys' order, and objects without known keys (7) an empty list.
+REPLY_ENTITIES = f"""WITH {NOTES_SQL}, f AS (SELECT *, CAST(note_id % 9 AS INTEGER) AS form FROM notes),
+e(form_from, form_to, ord, kind, category, subcategory, confidence) AS (VALUES
+  (0, 5, 0, 'patient', 'name', 'patient', 0.95), (0, 5, 1, 'birth', 'date', 'date_of_birth', 0.95), (0, 3, 2, 'id', 'id', 'national_id', 0.95),
+  (6, 6, 0, 'high', 'id', 'confidence', 0.7), (6, 6, 1, 'patient', 'name', NULL, 0.7), (6, 6, 2, 'visit', 'date', 'visit', 0.7))
+SELECT note_id, CAST(ord AS INTEGER) AS ord, CASE kind WHEN 'patient' THEN patient WHEN 'birth' THEN strftime(birth, '%d.%m.%Y') WHEN 'id' THEN national_id WHEN 'visit' THEN strftime(visit, '%d.%m.%Y') ELSE kind END AS original,
+  category, subcategory, CAST(confidence AS DOUBLE) AS confidence
+FROM f JOIN e ON CASE form WHEN 8 THEN 6 ELSE form END BETWEEN form_from AND form_to"""
+REPLY_ERRORS = f"""WITH {NOTES_SQL} SELECT form, count(*) AS n, CAST(0 AS BIGINT) AS n_errors, CAST(sum(CASE WHEN form < 4 OR form IN (6, 8) THEN 3 WHEN form < 6 THEN 2 ELSE 0 END) AS BIGINT) AS n_entities
+FROM (SELECT CAST(note_id % 9 AS INTEGER) AS form FROM notes) GROUP BY form"""

@@ -1,6 +1,6 @@
 """Clinical notes, entity lists and model replies derived from orders and customers, for both engines.
 
-The tables hold no clinical text, so each tenth order and its customer give one note. A note
+The tables hold no clinical text, so each order and its customer give one note. A note
 is written as a list of literals and names of values; both engines' SQL comes from that list.
 """
 
@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.entities import ENTITIES
+from ..sources.tables import table
 
 SPARK = {
     "P": "patient", "N": "national_id", "B": "date_format(birth, 'dd.MM.yyyy')", "V": "date_format(visit, 'dd.MM.yyyy')", "V30": "date_format(date_sub(visit, 30), 'dd.MM.yyyy')",
@@ -56,12 +57,12 @@ def _case(values: dict[str, str], glue: str) -> str:
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(note_id, patient, national_id, birth, visit, lang, variant, text)."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey % 10 = 0").select("o_orderkey", "o_custkey", "o_orderdate")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     customers = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name")
     df = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).selectExpr(
         "o_orderkey AS note_id", "c_name AS patient", "CAST(10000000000 + o_custkey * 7919 AS STRING) AS national_id",
         "date_add(DATE'1950-01-01', CAST(o_custkey % 16000 AS INT)) AS birth", "CAST(o_orderdate AS DATE) AS visit",
-        "CASE WHEN (o_orderkey div 10) % 4 = 3 THEN 'tr' ELSE 'en' END AS lang", "CAST((o_orderkey div 10) % 8 AS INT) AS variant",
+        "CASE WHEN (o_orderkey div 8) % 4 = 3 THEN 'tr' ELSE 'en' END AS lang", "CAST(o_orderkey % 8 AS INT) AS variant",
     )
     return df.withColumn("text", F.expr(_case(SPARK, ",").replace("\n", "\\n")))
 
@@ -79,8 +80,8 @@ NOTES_SQL = f"""notes AS (
   SELECT *, {_case(DUCK, "|")} AS text FROM (
     SELECT o_orderkey AS note_id, c_name AS patient, CAST(10000000000 + o_custkey * 7919 AS VARCHAR) AS national_id,
       DATE '1950-01-01' + CAST(o_custkey % 16000 AS INTEGER) AS birth, CAST(o_orderdate AS DATE) AS visit,
-      CASE WHEN (o_orderkey // 10) % 4 = 3 THEN 'tr' ELSE 'en' END AS lang, CAST((o_orderkey // 10) % 8 AS INTEGER) AS variant
-    FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 10 = 0))"""
+      CASE WHEN (o_orderkey // 8) % 4 = 3 THEN 'tr' ELSE 'en' END AS lang, CAST(o_orderkey % 8 AS INTEGER) AS variant
+    FROM orders JOIN customer ON o_custkey = c_custkey))"""
 
 
 def _found_sql() -> str:
@@ -125,5 +126,5 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"left({clean}, length({clean}) - 40)", flat, loose, f"concat('No JSON today: ', patient, ' ', {flat}, ' end')",
     )
     whens = " ".join(f"WHEN {i} THEN {f}" for i, f in enumerate(forms))
-    df = notes(spark, sf_dir).withColumn("form", F.expr(f"CAST((note_id div 10) % {FORMS} AS INT)"))
+    df = notes(spark, sf_dir).withColumn("form", F.expr(f"CAST(note_id % {FORMS} AS INT)"))
     return df.select("note_id", "form", "lang", "text", F.expr(f"CASE form {whens} END").alias("raw_response"))

@@ -61,6 +61,11 @@ def inventory(files: DataFrame) -> DataFrame:
     return out.orderBy(F.lower("name").contains("qwen").desc(), F.col("size_gb").desc(), "path")
 
 
-def find_models(spark: SparkSession, folders: list[str]) -> DataFrame:
-    """Model files of folders; file contents are not read."""
-    return inventory(spark.read.format("binaryFile").option("pathGlobFilter", "*.gguf").load(folders).select("path", "length"))
+def find_models(spark: SparkSession, folders: list[str], nested: tuple[str, ...] = ()) -> DataFrame:
+    """Model files of folders, and of `nested` ones also a level below; file contents are not read."""
+    read = spark.read.format("binaryFile").option("pathGlobFilter", "*.gguf")
+    files = read.load(folders).select("path", "length") if folders else None
+    for x in nested:
+        deep = read.option("recursiveFileLookup", "true").load(x).select("path", "length").where(F.col("path").rlike(rf"\Q{x.rstrip('/')}\E/([^/]+/)?[^/]+\z"))
+        files = files.union(deep) if files is not None else deep
+    return inventory(files if files is not None else spark.createDataFrame([], "path string, length long"))

@@ -20,6 +20,9 @@ FORMATS = ("txt", "md", "pdf", "docx")
 TOP, BOTTOM, LEFT, PITCH, POINTS = 272.0, 25.0, 25.0, 4.5, 10
 LINES = int((TOP - BOTTOM) // PITCH)
 WIDTH, HEIGHT, MM = 210.0, 297.0, 72 / 25.4
+#: The six places where the Turkish code page departs from the font's base encoding.
+TURKISH = "208/Gbreve 221/Idotaccent 222/Scedilla 240/gbreve 253/dotlessi 254/scedilla"
+#: Fixed values of the DOCX format: namespace, content types and relationships.
 W = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
 DECLARATION = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
 TYPES = f'{DECLARATION}<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/word/document.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"/></Types>'
@@ -29,8 +32,9 @@ NO_RELS = f'{DECLARATION}<Relationships xmlns="http://schemas.openxmlformats.org
 
 def lines(text: Column) -> Column:
     """Lines without their ends; a last line end begins no line."""
-    body = F.regexp_replace(text, r"\r?\n\z", "")
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.transform(F.split(body, "\n", -1), lambda x: F.regexp_replace(x, r"\r\z", "")))
+    parts = F.split(text, "\n", -1)
+    ended = F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda x: F.regexp_replace(x, r"\r\z", ""))
+    return F.concat(ended, F.filter(F.slice(parts, -1, 1), lambda x: x != ""))
 
 
 def markdown(redacted: Column) -> Column:
@@ -38,9 +42,9 @@ def markdown(redacted: Column) -> Column:
 
 
 def docx_document(redacted: Column) -> Column:
-    """document.xml: a paragraph for each line."""
+    """document.xml: a paragraph for each line, an empty one for a line of white space alone."""
     run = '<w:p><w:r><w:rPr><w:rFonts w:ascii="Courier New" w:hAnsi="Courier New" w:cs="Courier New"/><w:sz w:val="20"/></w:rPr><w:t xml:space="preserve">'
-    parts = F.transform(lines(redacted), lambda x: F.when(x == "", F.lit("<w:p/>")).otherwise(F.concat(F.lit(run), xml_escape(x), F.lit("</w:t></w:r></w:p>"))))
+    parts = F.transform(lines(redacted), lambda x: F.when(x.rlike(r"(?U)^\s*\z"), F.lit("<w:p/>")).otherwise(F.concat(F.lit(run), xml_escape(x), F.lit("</w:t></w:r></w:p>"))))
     page = '<w:sectPr><w:pgSz w:w="12240" w:h="15840"/><w:pgMar w:top="1440" w:right="1440" w:bottom="1440" w:left="1440"/></w:sectPr>'
     return F.concat(F.lit(f'{DECLARATION}<w:document xmlns:w="{W}"><w:body>'), F.array_join(parts, ""), F.lit(f"{page}</w:body></w:document>"))
 
@@ -62,9 +66,10 @@ def docx_bytes(document: str) -> bytes:
 
 def pdf_bytes(text: str) -> bytes:
     """A PDF of the text in Courier; characters outside the Turkish code page become question marks."""
-    rows = text.splitlines()
+    rows = text.split("\n")
+    rows = [x.removesuffix("\r") for x in rows[:-1]] + rows[-1:] * (rows[-1] != "")
     pages = [rows[i : i + LINES] for i in range(0, len(rows), LINES)] or [[]]
-    objects = [b"<</Type/Catalog/Pages 2 0 R>>", b"", b"<</Type/Font/Subtype/Type1/BaseFont/Courier/Encoding/WinAnsiEncoding>>"]
+    objects = [b"<</Type/Catalog/Pages 2 0 R>>", b"", f"<</Type/Font/Subtype/Type1/BaseFont/Courier/Encoding<</Type/Encoding/BaseEncoding/WinAnsiEncoding/Differences[{TURKISH}]>>>>".encode()]
     kids = []
     for page in pages:
         shown = []

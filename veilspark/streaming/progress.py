@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Decimal
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
@@ -26,31 +27,41 @@ def progress(chunks: DataFrame, totals: DataFrame | None = None) -> DataFrame:
     )
 
 
+RECORD = "download_id long, downloaded long, total long, percent double, mib_per_s double, eta_secs long"
+
+
 def throttled(records: DataFrame, interval_ms: int = INTERVAL_MS) -> DataFrame:
-    """Records at least interval_ms after the last one let through, and each download's last; a fold over each download's sorted records."""
-    each = records.groupBy("download_id").agg(F.array_sort(F.collect_list(F.struct((F.col("ts").cast("timestamp").cast("double") * 1000).cast("long").alias("ms"), "seq", "downloaded", "percent"))).alias("r"))
+    """Records of progress() at least interval_ms after the last one let through, the first chunk beginning the count, and behind them a last one for each download that is complete: 100 per cent, no rate, nothing left."""
+    ms = (F.col("ts").cast("timestamp").cast("double") * 1000).cast("long").alias("ms")
+    each = records.groupBy("download_id").agg(F.max("total").alias("total"), F.max("downloaded").alias("most"), F.array_sort(F.collect_list(F.struct(ms, "seq", "downloaded", "percent", "mib_per_s", "eta_secs"))).alias("r"))
     kept = F.aggregate(
         "r",
-        F.struct(F.get("r", F.lit(0))["ms"].alias("last"), F.array().cast("array<struct<ms:bigint,seq:bigint,downloaded:bigint,percent:double>>").alias("out")),
-        lambda a, x: F.when((x["ms"] - a["last"] >= interval_ms) | (x["seq"] == F.element_at("r", -1)["seq"]), F.struct(x["ms"].alias("last"), F.array_append(a["out"], x).alias("out"))).otherwise(a),
+        F.struct(F.get("r", F.lit(0))["ms"].alias("last"), F.array().cast("array<struct<ms:bigint,seq:bigint,downloaded:bigint,percent:double,mib_per_s:double,eta_secs:bigint>>").alias("out")),
+        lambda a, x: F.when(x["ms"] - a["last"] >= interval_ms, F.struct(x["ms"].alias("last"), F.array_append(a["out"], x).alias("out"))).otherwise(a),
     )
-    return each.select("download_id", F.explode(kept["out"]).alias("x")).select("download_id", "x.seq", "x.downloaded", "x.percent")
+    out = each.select("download_id", "total", F.explode(kept["out"]).alias("x")).select("download_id", "x.downloaded", "total", "x.percent", "x.mib_per_s", "x.eta_secs")
+    done = each.where(F.col("most") >= F.col("total")).select("download_id", F.col("total").alias("downloaded"), "total", F.lit(100.0).alias("percent"), F.lit(0.0).alias("mib_per_s"), F.lit(0).cast("long").alias("eta_secs"))
+    return out.union(done)
 
 
 def progress_stream(chunks: DataFrame, interval_ms: int = INTERVAL_MS) -> DataFrame:
-    """The same over a stream of chunks (download_id, ts, bytes): state is the sum so far and the time of the last record let through."""
+    """throttled(progress(...)) over a stream of chunks (download_id, ts, seq, bytes, total) that come in the order of ts: state is the sum so far, the first chunk's time and that of the last record let through. A complete download's last record comes once."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        total, last = state.get if state.exists else (0, None)
+        downloaded, began, last = state.get if state.exists else (0, None, None)
         out = []
-        rows = pd.concat(list(batches)).sort_values("ts")
-        for ts, n in zip(rows["ts"], rows["bytes"], strict=True):
-            total += int(n)
-            ms = int(ts.timestamp() * 1000)
-            if last is None or ms - last >= interval_ms:
-                out.append((key[0], ts, total))
+        for ts, n, total in pd.concat(list(batches)).sort_values(["ts", "seq"])[["ts", "bytes", "total"]].itertuples(index=False):
+            ms = ts.value // 1_000_000
+            began, last = (ms if began is None else began), (ms if last is None else last)
+            before, downloaded = downloaded, downloaded + int(n)
+            if ms - last >= interval_ms:
+                rate = downloaded / ((ms - began) / 1000) if ms > began else 0.0
+                left = total - downloaded
+                out.append((key[0], downloaded, total, min(downloaded / total * 100, 100.0) if total > 0 else 0.0, float(Decimal(rate / 1048576).quantize(Decimal("0.01"), ROUND_HALF_UP)), int(left / rate) if rate > 0 and left > 0 else 0))
                 last = ms
-        state.update((total, last))
-        yield pd.DataFrame(out, columns=["download_id", "ts", "downloaded"])
+            if before < total <= downloaded:
+                out.append((key[0], total, total, 100.0, 0.0, 0))
+        state.update((downloaded, began, last))
+        yield pd.DataFrame(out, columns=["download_id", "downloaded", "total", "percent", "mib_per_s", "eta_secs"])
 
-    return chunks.groupBy("download_id").applyInPandasWithState(step, "download_id long, ts timestamp, downloaded long", "total long, last long", "append", "NoTimeout")
+    return chunks.groupBy("download_id").applyInPandasWithState(step, RECORD, "downloaded long, began long, last long", "append", "NoTimeout")
