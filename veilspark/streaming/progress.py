@@ -62,6 +62,7 @@ def progress_stream(chunks: DataFrame, interval_ms: int = INTERVAL_MS) -> DataFr
             if before < total <= downloaded:
                 out.append((key[0], total, total, 100.0, 0.0, 0))
         state.update((downloaded, began, last))
-        yield pd.DataFrame(out, columns=["download_id", "downloaded", "total", "percent", "mib_per_s", "eta_secs"])
+        if out:
+            yield pd.DataFrame(out, columns=["download_id", "downloaded", "total", "percent", "mib_per_s", "eta_secs"])
 
     return chunks.groupBy("download_id").applyInPandasWithState(step, RECORD, "downloaded long, began long, last long", "append", "NoTimeout")
