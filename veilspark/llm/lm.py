@@ -7,9 +7,10 @@ longest context that has arcs; an arc that is missing is replaced by the state's
 arc, whose weight is its backoff.
 
 Nothing is gathered or broadcast: the automaton lies in shards by key, and texts in chunks
-of tokens. A chunk sends each shard its distinct keys with their counts, once, and gets the
-counts over all chunks back in the same order; likewise, in a second round, the backoffs of
-the contexts that can have arcs. A text's walk is then a few vector operations over its
+of tokens. A chunk sends each shard its distinct words and pairs with their counts, once, and
+gets the counts over all chunks back in the same order; in a round for each higher order those
+n-grams alone whose two parts occur often enough for an arc, as no other can; and in a last
+one the backoffs of the contexts that can have arcs. A text's walk is then a few vector operations over its
 chunk: the weight of a word is that of the longest arc, or of the backoffs passed.
 
 `Automaton` is the same model in one piece, for tables that fit the driver.
@@ -244,12 +245,29 @@ class Chunk:
             self.keys.append((u, i.astype(np.uint32)))
             self.valid.append(valid)
 
-    def told(self, rows: pa.Table, kind: str) -> list[np.ndarray]:
-        """What the shards said, for each order in the order of the keys that were asked."""
+    def told(self, rows: pa.Table, kind: str) -> dict[int, np.ndarray]:
+        """What the shards said, by order, in the order of the keys that were asked."""
         of: dict[int, list] = {}
         for k, shard, vals, n in sorted(zip(rows["ord"].to_pylist(), rows["shard"].to_pylist(), rows["vals"].to_pylist(), rows["distinct"].to_pylist(), strict=True)):
             of.setdefault(k, []).append(_array(vals, kind))
-        return [np.concatenate(of[k]) for k in sorted(of)]
+        return {k: np.concatenate(x) for k, x in of.items()}
+
+    def open(self, n: list[np.ndarray]) -> np.ndarray:
+        """Which keys of the order behind those of n can occur LEAST times: both parts do."""
+        k = len(n)
+        often, (u, at) = n[-1] >= LEAST, self.keys[k]
+        return np.bincount(at, weights=self.valid[k] & often[self.ctx[k - 1]] & often[self.keys[k - 1][1]], minlength=len(u)) > 0
+
+    def counts(self, rows: pa.Table, order: int) -> list[np.ndarray]:
+        """Counts of all keys up to an order; those that were not asked are under LEAST and stand as 0."""
+        of = self.told(rows, "u")
+        out = [of[1], of[2]]
+        for k in range(3, order + 1):
+            can = self.open(out)
+            n = np.zeros(len(can), np.uint64)
+            n[can] = of.get(k, np.zeros(0, np.uint64))
+            out.append(n)
+        return out
 
     def counted(self, k: int, weights: np.ndarray) -> np.ndarray:
         u, at = self.keys[k]
@@ -290,13 +308,13 @@ def _array(blob: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(blob[1:], f"{kind}{blob[0]}")
 
 
-def _asked(chunk: int, asked: list[tuple[np.ndarray, np.ndarray]], shards: int) -> pa.Table:
-    """Rows of ASKED: for each order the sorted keys and their values, cut by shard. A shard is a range of keys."""
+def _asked(chunk: int, asked: list[tuple[np.ndarray, np.ndarray]], shards: int, first: int = 1) -> pa.Table:
+    """Rows of ASKED: for each order from `first` on the sorted keys and their values, cut by shard. A shard is a range of keys."""
     edges = np.array([(i << 64) // shards for i in range(shards)], np.uint64)
     rows = []
     for k, (u, vals) in enumerate(asked):
         cut = [*np.searchsorted(u, edges).tolist(), len(u)]
-        rows += [(k + 1, i, _sorted_blob(u[a:b]), _blob(vals[a:b])) for i, (a, b) in enumerate(zip(cut, cut[1:])) if a < b]
+        rows += [(k + first, i, _sorted_blob(u[a:b]), _blob(vals[a:b])) for i, (a, b) in enumerate(zip(cut, cut[1:])) if a < b]
     column = lambda j, kind: pa.array([r[j] for r in rows], kind)
     return pa.table({"chunk": pa.array([chunk] * len(rows), pa.int64()), "ord": column(0, pa.int32()), "shard": column(1, pa.int32()), "keys": column(2, pa.binary()), "vals": column(3, pa.binary())})
 
@@ -314,17 +332,25 @@ def _totals(rows: pa.Table, kind: str) -> pa.Table:
     return pa.table({"chunk": rows["chunk"], "ord": rows["ord"], "shard": rows["shard"], "vals": pa.array([_blob(x) for x in out], pa.binary()), "distinct": pa.array(distinct)})
 
 
-def _ask_counts(batches: Iterator[pa.RecordBatch], order: int, shards: int) -> Iterator[pa.RecordBatch]:
+def _ask_counts(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
+    """Words and pairs."""
     for batch in batches:
         for i in range(batch.num_rows):
-            c = Chunk(batch.slice(i, 1).to_pylist()[0], order)
+            c = Chunk(batch.slice(i, 1).to_pylist()[0], 2)
             yield from _asked(c.chunk, [(u, c.counted(k, c.train & c.valid[k]).astype(np.uint64)) for k, (u, _) in enumerate(c.keys)], shards).to_batches()
 
 
+def _ask_more(left: pa.Table, right: pa.Table, order: int, shards: int) -> pa.Table:
+    """The keys of one higher order that can have arcs."""
+    c = Chunk(left.to_pylist()[0], order)
+    can, k = c.open(c.counts(right, order - 1)), order - 1
+    return _asked(c.chunk, [(c.keys[k][0][can], c.counted(k, c.train & c.valid[k]).astype(np.uint64)[can])], shards, order)
+
+
 def _ask_backoffs(left: pa.Table, right: pa.Table, order: int, shards: int) -> pa.Table:
     """A context's backoff is the mean, over its training occurrences, of what the discount takes from the next token: all of it where that is no arc."""
     c = Chunk(left.to_pylist()[0], order)
-    n = c.told(right, "u")
+    n = c.counts(right, order)
     asked = []
     for k in range(1, order):
         free = np.where(n[k] >= LEAST, DISCOUNT / np.maximum(n[k], 1), 1.0)[c.keys[k][1]]
@@ -337,9 +363,8 @@ def _ask_backoffs(left: pa.Table, right: pa.Table, order: int, shards: int) -> p
 def _score(left: pa.Table, right: pa.Table, order: int, log_total: float) -> pa.Table:
     c = Chunk(left.to_pylist()[0], order)
     first = right["first"].to_numpy(zero_copy_only=False)
-    n = c.told(right.filter(pa.array(first)), "u")
-    asked = right.filter(pa.array(~first))
-    masses = dict(zip(sorted(set(asked["ord"].to_pylist())), c.told(asked, "f"), strict=True))
+    n = c.counts(right.filter(pa.array(first)), order)
+    masses = c.told(right.filter(pa.array(~first)), "f")
     log_p = np.log10(n[0] + 0.5)[c.keys[0][1]] - log_total
     p, base = 10.0**log_p, log_p
     for k in range(1, order):
@@ -403,8 +428,15 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     chunks = written(docs.mapInArrow(_chunks, CHUNKS), "lm-chunks")
     size, total = chunks.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("train"), F.lit(0))).first()
     shards = max(1, size // SHARD)
-    asked = chunks.mapInArrow(lambda it: _ask_counts(it, order, shards), ASKED)
+    asked = chunks.mapInArrow(lambda it: _ask_counts(it, shards), ASKED)
     counts = written(asked.groupBy("ord", "shard").applyInArrow(lambda t: _totals(t, "u"), TOLD), "lm-counts", freed=True)
+
+    def more(k: int):
+        return lambda x, y: _ask_more(x, y, k, shards)
+
+    for k in range(3, order + 1):
+        asked = chunks.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(more(k), ASKED)
+        counts = counts.union(written(asked.groupBy("ord", "shard").applyInArrow(lambda t: _totals(t, "u"), TOLD), f"lm-counts-{k}", freed=True))
     distinct = counts.where("ord = 1").agg(F.coalesce(F.sum("distinct"), F.lit(0))).first()[0]
     log_total = math.log10(total + 0.5 * (distinct + 1))
     asked = chunks.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(lambda x, y: _ask_backoffs(x, y, order, shards), ASKED)
