@@ -31,7 +31,8 @@ from .textbytes import LOWER, P1, P2, buffer, slices, words, xxh64
 
 ORDER = 3
 LEAST = 2
-DISCOUNT = 0.5
+UNITS = 2  #: a discount is one of so many units of a count
+DISCOUNT = 1 / UNITS
 CHUNK = 1_000_000
 SHARD = 2_000_000
 BLOCK = 2_000_000
@@ -245,11 +246,11 @@ class Chunk:
             self.keys.append((u, i.astype(np.uint32)))
             self.valid.append(valid)
 
-    def told(self, rows: pa.Table, kind: str) -> dict[int, np.ndarray]:
-        """What the shards said, by order, in the order of the keys that were asked."""
+    def told(self, rows: pa.Table) -> dict[int, np.ndarray]:
+        """What the shards said, by order, in the order of the keys that were asked: twice the sum, and one where this chunk is the first to ask."""
         of: dict[int, list] = {}
         for k, shard, vals, n in sorted(zip(rows["ord"].to_pylist(), rows["shard"].to_pylist(), rows["vals"].to_pylist(), rows["distinct"].to_pylist(), strict=True)):
-            of.setdefault(k, []).append(_array(vals, kind))
+            of.setdefault(k, []).append(_array(vals))
         return {k: np.concatenate(x) for k, x in of.items()}
 
     def open(self, n: list[np.ndarray]) -> np.ndarray:
@@ -259,14 +260,15 @@ class Chunk:
         return np.bincount(at, weights=self.valid[k] & often[self.ctx[k - 1]] & often[self.keys[k - 1][1]], minlength=len(u)) > 0
 
     def counts(self, rows: pa.Table, order: int) -> list[np.ndarray]:
-        """Counts of all keys up to an order; those that were not asked are under LEAST and stand as 0."""
-        of = self.told(rows, "u")
-        out = [of[1], of[2]]
+        """Counts of all keys up to an order; those that were not asked are under LEAST and stand as 0. first: the keys that this chunk is the first to ask."""
+        of = self.told(rows)
+        out, self.first = [of[1] >> 1, of[2] >> 1], [of[1] & 1, of[2] & 1]
         for k in range(3, order + 1):
             can = self.open(out)
             n = np.zeros(len(can), np.uint64)
             n[can] = of.get(k, np.zeros(0, np.uint64))
-            out.append(n)
+            out.append(n >> np.uint64(1))
+            self.first.append(n & np.uint64(1))
         return out
 
     def counted(self, k: int, weights: np.ndarray) -> np.ndarray:
@@ -275,9 +277,8 @@ class Chunk:
 
 
 def _blob(x: np.ndarray) -> bytes:
-    """Kind and values; counts in as few bytes as hold the largest."""
-    if x.dtype.kind == "u":
-        x = x.astype(np.min_scalar_type(x.max(initial=0)))
+    """Width and values, in as few bytes as hold the largest."""
+    x = x.astype(np.min_scalar_type(x.max(initial=0)))
     return bytes([x.itemsize]) + x.tobytes()
 
 
@@ -304,8 +305,8 @@ def _sorted_array(blob: bytes) -> np.ndarray:
     return np.cumsum(np.concatenate([np.frombuffer(blob, np.uint64, 1, 1), _unplaned(blob[9:], blob[0], np.uint64)]), dtype=np.uint64)
 
 
-def _array(blob: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(blob[1:], f"{kind}{blob[0]}")
+def _array(blob: bytes) -> np.ndarray:
+    return np.frombuffer(blob[1:], f"u{blob[0]}")
 
 
 def _asked(chunk: int, asked: list[tuple[np.ndarray, np.ndarray]], shards: int, first: int = 1) -> pa.Table:
@@ -319,14 +320,16 @@ def _asked(chunk: int, asked: list[tuple[np.ndarray, np.ndarray]], shards: int,
     return pa.table({"chunk": pa.array([chunk] * len(rows), pa.int64()), "ord": column(0, pa.int32()), "shard": column(1, pa.int32()), "keys": column(2, pa.binary()), "vals": column(3, pa.binary())})
 
 
-def _totals(rows: pa.Table, kind: str) -> pa.Table:
-    """For a shard: sums over all chunks, in each chunk's own order of keys; distinct, on one row: keys with a sum."""
-    rows = rows.take(np.argsort(rows["chunk"].to_numpy()))  # sums do not depend on the order of arrival
+def _totals(rows: pa.Table) -> pa.Table:
+    """For a shard: twice the sums over all chunks, plus one for the first chunk to ask, in each chunk's own order of keys; distinct, on one row: keys with a sum."""
+    rows = rows.take(np.argsort(rows["chunk"].to_numpy()))
     keys = [_sorted_array(x) for x in rows["keys"].to_pylist()]
-    vals = np.concatenate([_array(x, kind) for x in rows["vals"].to_pylist()])
-    at = np.unique(np.concatenate(keys), return_inverse=True)[1]
-    total = np.bincount(at, weights=vals)
-    out = np.split(total.astype(np.uint64 if kind == "u" else np.float64)[at], np.cumsum([len(x) for x in keys])[:-1])
+    vals = np.concatenate([_array(x) for x in rows["vals"].to_pylist()])
+    _, first, at = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+    total = np.bincount(at, weights=vals).astype(np.uint64)
+    told = total[at] << np.uint64(1)
+    told[first] |= np.uint64(1)
+    out = np.split(told, np.cumsum([len(x) for x in keys])[:-1])
     distinct = np.zeros(len(keys), np.int64)
     distinct[0] = np.count_nonzero(total)
     return pa.table({"chunk": rows["chunk"], "ord": rows["ord"], "shard": rows["shard"], "vals": pa.array([_blob(x) for x in out], pa.binary()), "distinct": pa.array(distinct)})
@@ -348,15 +351,18 @@ def _ask_more(left: pa.Table, right: pa.Table, order: int, shards: int) -> pa.Ta
 
 
 def _ask_backoffs(left: pa.Table, right: pa.Table, order: int, shards: int) -> pa.Table:
-    """A context's backoff is the mean, over its training occurrences, of what the discount takes from the next token: all of it where that is no arc."""
+    """What the discount takes from a context, in units of the discount: one for each of its arcs, named by the first chunk that asked for it, and all of each training occurrence that is no arc's."""
     c = Chunk(left.to_pylist()[0], order)
     n = c.counts(right, order)
     asked = []
     for k in range(1, order):
-        free = np.where(n[k] >= LEAST, DISCOUNT / np.maximum(n[k], 1), 1.0)[c.keys[k][1]]
-        mass = np.bincount(c.ctx[k - 1], weights=free * (c.train & c.valid[k]), minlength=len(n[k - 1]))
+        (u, at), ctx = c.keys[k], c.ctx[k - 1]
+        none = np.bincount(ctx, weights=(n[k] < LEAST)[at] & c.train & c.valid[k], minlength=len(n[k - 1]))
+        of = np.zeros(len(u), np.int64)
+        of[at[c.valid[k]]] = ctx[c.valid[k]]
+        arcs = np.bincount(of[(n[k] >= LEAST) & (c.first[k] == 1)], minlength=len(n[k - 1]))
         can = n[k - 1] >= LEAST  # a rarer context has no arcs
-        asked.append((c.keys[k - 1][0][can], mass[can]))
+        asked.append((c.keys[k - 1][0][can], (UNITS * none + arcs).astype(np.uint64)[can]))
     return _asked(c.chunk, asked, shards)
 
 
@@ -364,14 +370,14 @@ def _score(left: pa.Table, right: pa.Table, order: int, log_total: float) -> pa.
     c = Chunk(left.to_pylist()[0], order)
     first = right["first"].to_numpy(zero_copy_only=False)
     n = c.counts(right.filter(pa.array(first)), order)
-    masses = c.told(right.filter(pa.array(~first)), "f")
+    masses = c.told(right.filter(pa.array(~first)))
     log_p = np.log10(n[0] + 0.5)[c.keys[0][1]] - log_total
     p, base = 10.0**log_p, log_p
     for k in range(1, order):
         ctx, seen = c.ctx[k - 1], n[k][c.keys[k][1]]
         can = n[k - 1] >= LEAST
         backoff = np.ones(len(can))
-        backoff[can] = masses.get(k, np.zeros(0)) / n[k - 1][can]
+        backoff[can] = (masses.get(k, np.zeros(0, np.uint64)) >> 1) / UNITS / n[k - 1][can]
         arc = np.where(seen >= LEAST, (seen - DISCOUNT) / np.maximum(n[k - 1], 1)[ctx], 0.0)
         p = np.where(c.valid[k], arc + backoff[ctx] * p, p)
     begin = np.cumsum(c.n) - c.n
@@ -429,18 +435,18 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     size, total = chunks.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("train"), F.lit(0))).first()
     shards = max(1, size // SHARD)
     asked = chunks.mapInArrow(lambda it: _ask_counts(it, shards), ASKED)
-    counts = written(asked.groupBy("ord", "shard").applyInArrow(lambda t: _totals(t, "u"), TOLD), "lm-counts", freed=True)
+    counts = written(asked.groupBy("ord", "shard").applyInArrow(_totals, TOLD), "lm-counts", freed=True)
 
     def more(k: int):
         return lambda x, y: _ask_more(x, y, k, shards)
 
     for k in range(3, order + 1):
         asked = chunks.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(more(k), ASKED)
-        counts = counts.union(written(asked.groupBy("ord", "shard").applyInArrow(lambda t: _totals(t, "u"), TOLD), f"lm-counts-{k}", freed=True))
+        counts = counts.union(written(asked.groupBy("ord", "shard").applyInArrow(_totals, TOLD), f"lm-counts-{k}", freed=True))
     distinct = counts.where("ord = 1").agg(F.coalesce(F.sum("distinct"), F.lit(0))).first()[0]
     log_total = math.log10(total + 0.5 * (distinct + 1))
     asked = chunks.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(lambda x, y: _ask_backoffs(x, y, order, shards), ASKED)
-    masses = written(asked.groupBy("ord", "shard").applyInArrow(lambda t: _totals(t, "f"), TOLD), "lm-backoffs", freed=True)
+    masses = written(asked.groupBy("ord", "shard").applyInArrow(_totals, TOLD), "lm-backoffs", freed=True)
     told = counts.withColumn("first", F.lit(True)).union(masses.withColumn("first", F.lit(False)))
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     scored = chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(lambda x, y: _score(x, y, order, log_total), schema)
