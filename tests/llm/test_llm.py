@@ -512,7 +512,19 @@ def test_audio_query(docs, none):
         assert len(p) % 192 == 0 and p
     assert collections.Counter(tuple(r[:5]) for r in rows) == want and audio.result(none).collect() == []
     assert len({tuple(r) for r in rows if r.doc_id == 10}) == 1
-    assert {r.doc_id: bytes(r.payload).rstrip() for r in audio.decoded(audio.encode(docs)).collect()}[4] == b"one"
+    stored = {bytes(r.payload): r for r in audio.decoded(audio.encode(docs)).collect()}
+    assert {r.doc_id: bytes(r.payload).rstrip() for r in stored.values()}[4] == b"one"
+    features, codecs = {r.payload_sha256: r.feature for r in rows}, set()
+    for p, r in stored.items():
+        codec = audio.codec_of(p)
+        x = [v for i in range(0, len(p), 192) for v in slow_adpcm(p[i : i + 192])] if codec == "adpcm" else [int((audio.MULAW if codec == "mulaw" else audio.ALAW)[b]) for b in p]
+        twice = [v for a, b in zip(x, x[1:] + x[-1:]) for v in (a, (a + b) // 2)]
+        pcm = np.array(twice, "<i2").tobytes()
+        crossings = sum((a < 0) != (b < 0) for a, b in zip(x, x[1:]))
+        assert bytes(r.pcm) == pcm and r.feature == features[hashlib.sha256(p).hexdigest()]
+        assert r.feature == f"codec={codec};samples={len(x)};peak={max(map(abs, x))};energy={sum(v * v for v in x)};dc={sum(x)};crossings={crossings};rate=16000;pcm_bytes={len(pcm)};pcm_crc32={zlib.crc32(pcm)}"
+        codecs.add(codec)
+    assert len(codecs) > 1
 
 
 # 9

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .shared import written
 from .textbytes import slices
 
 BLOCK = 192
@@ -207,8 +208,8 @@ def decoded(media: DataFrame, to: int = TARGET) -> DataFrame:
 
 
 def result(docs: DataFrame) -> DataFrame:
-    """The query's columns: digests of what was stored and read back."""
-    return encode(docs).mapInArrow(
+    """The query's columns: digests of the media that are written to the shared folder and read back from there. Their PCM is resampled and digested in `feature`; decoded() gives it as a column."""
+    return written(encode(docs), "media").mapInArrow(
         lambda it: _decode(it, TARGET, True),
         "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string",
     )
