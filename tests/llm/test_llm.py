@@ -215,7 +215,7 @@ def test_cascade_is_exact(spark):
 
 
 def test_urls(spark):
-    urls = [None, "", "nothing", "http://A.COM", "http://a.com/", "x://www.example.com/en/1?q=/x", "http://example.com/en/", "http://b.example.com/en", "http://notexample.com/en/", "http://x.net/es/?", "http://x.net/fr", "http://u@h.net:80/fr/#a", "a://ads-track.example.org/x", "http://com/", "http://é.ÄÖ.org/é", "http://" + "a." * 3000 + "com/"]
+    urls = [None, "", "nothing", "http://A.COM", "http://a.com/", "x://www.example.com/en/1?q=/x", "http://example.com/en/", "http://b.example.com/en", "http://notexample.com/en/", "http://x.net/es/?", "http://x.net/fr", "http://u@h.net:80/fr/#a", "a://ads-track.example.org/x", "a://m.free-bets.example.net/y", "http://com/", "http://é.ÄÖ.org/é", "http://" + "a." * 3000 + "com/"]
     df = spark.createDataFrame([(i, u, 1) for i, u in enumerate(urls + urls[:3])], "page_id long, url string, host int")
     rows = urlfilter.judge(df).collect()
     for r in rows:
@@ -231,6 +231,10 @@ def test_urls(spark):
         blocked = any(host == h or host.endswith("." + h) for h in urlfilter.BLOCKED_HOSTS)
         assert tuple(r) == (r.page_id, host, path, best.key if best else None, best.verdict if best else "block" if blocked else "allow")
     assert len(rows) == len(urls) + 3 and urlfilter.judge(df.limit(0)).collect() == []
+    table = spark.createDataFrame([("COM.",), ("H.net",), (None,), ("",), ("h.net",)], "host string")
+    assert urlfilter.listed_hosts(table) == ("com.", "h.net") and urlfilter.listed_hosts(table.limit(0)) == ()
+    hosts = spark.createDataFrame([(0, "a://q.new.test/"), (1, "a://renew.test/"), (2, "a://new.test?x")], "page_id long, url string")
+    assert {r.page_id: r.verdict for r in urlfilter.judge(hosts, blocked=spark.createDataFrame([("new.test",)], "host string")).collect()} == {0: "block", 1: "allow", 2: "block"}
 
 
 # 4

@@ -46,8 +46,9 @@ RULES = (
     Rule("block", "net", "/es/"),
     Rule("block", "net", "/fr/"),
 )
-#: Hosts that the method blocks where no rule fits.
-BLOCKED_HOSTS = ("ads-track.example.org", "casino-win.example.org", "cheap-pills.example.com", "free-bets.example.com", "spam-farm.example.org")
+#: Hosts that the method blocks where no rule fits: the sites of advertising and spam that the pages' tables name, under each ending.
+BLOCKED_SITES = ("ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+BLOCKED_HOSTS = tuple(f"{site}.example.{end}" for site in BLOCKED_SITES for end in ("com", "net", "org"))
 
 
 class Bloom:
@@ -142,16 +143,26 @@ def candidates(host: str, path: str, labels: tuple[int, ...], lengths: tuple[int
     return sorted((h + path[:n] for h in hosts for n in lengths if n <= len(path)), key=lambda k: (-len(k), k))
 
 
-def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, blocked: tuple[str, ...] = BLOCKED_HOSTS) -> DataFrame:
+def listed_hosts(table: DataFrame) -> tuple[str, ...]:
+    """The hosts of a table (host string) as a list for judge(): A-Z lower-cased, nulls and empty ones left out; over SPACE of them are an error."""
+    host = F.translate(F.col("host").cast("string"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("host")
+    rows = table.select(host).where("host <> ''").distinct().limit(SPACE + 1).collect()
+    if len(rows) > SPACE:
+        raise ValueError(f"a list of over {SPACE} keys")
+    return tuple(sorted(r.host for r in rows))
+
+
+def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, blocked: tuple[str, ...] | DataFrame = BLOCKED_HOSTS) -> DataFrame:
     """(page_id, host, path, rule, verdict) for every row of pages.
 
     A rule fits its host and all subdomains if the path starts with the rule's; the longest
-    wins. Where none fits, the method's verdict is block for the hosts in `blocked` and
-    their subdomains, else allow. A null URL or one without :// has an empty host and path
+    wins. Where none fits, the method's verdict is block for the hosts in `blocked`, a list
+    or a table (host), and their subdomains, else allow. A null URL or one without :// has an empty host and path
     and no rule. Repeated rows are judged each, an empty table gives no rows, extra columns
     are left alone.
     """
     spark = pages.sparkSession
+    blocked = listed_hosts(blocked) if isinstance(blocked, DataFrame) else blocked
     urls = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"))
     labels = tuple(sorted({r.host.count(".") + 1 for r in rules} | {h.count(".") + 1 for h in blocked}))
     lengths = tuple(sorted({len(r.path) for r in rules} | {0}))
@@ -195,7 +206,7 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, blocked: tuple[str,
     return urls.mapInArrow(verdicts, "page_id long, host string, path string, rule string, verdict string")
 
 
-ORACLE = """
+ORACLE = f"""
 WITH u AS (
   SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
 ), s AS (
@@ -204,7 +215,7 @@ WITH u AS (
 ), r AS (
   SELECT * FROM (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')) t(h, p, v)
 ), b AS (
-  SELECT * FROM (VALUES ('ads-track.example.org'), ('casino-win.example.org'), ('cheap-pills.example.com'), ('free-bets.example.com'), ('spam-farm.example.org')) t(h)
+  SELECT * FROM (VALUES {", ".join(f"('{h}')" for h in BLOCKED_HOSTS)}) t(h)
 ), f AS (
   SELECT s.page_id, s.host, s.path, arg_max(r.h || r.p, length(r.h || r.p)) AS rule, arg_max(r.v, length(r.h || r.p)) AS v
   FROM s LEFT JOIN r ON (s.host = r.h OR ends_with(s.host, '.' || r.h)) AND starts_with(s.path, r.p)
