@@ -59,3 +59,19 @@ def test_small_functions(spark):
     assert one(spark, [("é" * 5,)], "x string", T.truncate_input(F.col("x"), 5)) == [("éé",)]
     assert one(spark, [("a",), ("[X_1]",), ("",)], "x string", T.age_like(F.col("x"))) == [(True,), (False,), (False,)]
     assert one(spark, [(" a  b ", "x a b"), ("a", "a")], "c string, t string", T.selection(F.col("c"), F.col("t"))) == [("a b",), (None,)]
+
+
+def test_names_for_sql(spark):
+    from veilspark.functions import category, dates, names
+    from veilspark.operators import render
+
+    assert names.register(spark) == ["normalize_category", "parse_date", "redacted_tagged", "redacted_plain"]
+    words = spark.createDataFrame([("Hasta Adı",), ("TEL",), (" e-posta ",), ("doctor",), (None,), ("x'y\\",)], "raw string")
+    assert all(a == b for a, b in words.select(F.expr("normalize_category(raw)"), category.normalize_category(F.col("raw"))).collect())
+    days = spark.createDataFrame([("12.03.2020",), ("2020-03-12",), ("12 Mart 2020",), ("March 12, 2020",), ("no",), (None,)], "input string")
+    got = days.select(F.expr("parse_date(input)"), dates.parse_date(F.col("input"))).collect()
+    assert all(a == b for a, b in got) and got[0][0] is not None
+    text = spark.createDataFrame([("Ann Lee met Ann, 40", [("Ann", "name", "[NAME_2]", True), ("Ann Lee", "name", "[NAME_1]", True), ("40", "age", "forty", True), ("met", "name", "[NAME_3]", False)])], f"body string, entities {names.ENTITIES}")
+    for f in ("redacted_tagged", "redacted_plain"):
+        a, b = text.select(F.expr(f"{f}(body, entities)"), getattr(render, f)(F.col("body"), F.col("entities"))).first()
+        assert a == b != "Ann Lee met Ann, 40"

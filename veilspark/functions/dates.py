@@ -45,11 +45,14 @@ def calendar(y: Column, m: Column, d: Column) -> Column:
 
 def parse_date(text: Column) -> Column:
     """The date that a text gives by the first rule with a valid one; an invalid date falls through to later rules."""
-    cleaned = F.replace(trimmed(text), F.lit("\u00a0"), F.lit(" "))
-    return F.get(F.transform(F.array(cleaned), _parsed), F.lit(0))  # a lambda's variable is computed once, however often rules use it
+    return F.get(F.transform(F.array(cleaned(text)), parsed), F.lit(0))  # a lambda's variable is computed once, however often rules use it
 
 
-def _parsed(t: Column) -> Column:
+def cleaned(text: Column) -> Column:
+    return F.replace(trimmed(text), F.lit("\u00a0"), F.lit(" "))
+
+
+def parsed(t: Column) -> Column:
     months = F.create_map(*[F.lit(x) for kv in MONTHS.items() for x in kv])
     found = []
     for pattern, kind, y, m, d in RULES:
