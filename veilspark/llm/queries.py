@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import audio, fim, htmlx, lm, negatives, packing, pii, quality, rules, simhash, spm, urlfilter
+from . import audio, fim, htmlx, jaccard, lm, negatives, packing, pii, quality, rules, simhash, spm, urlfilter
 from .shared import documents, pages
 
 MIXTURE = 0.7  #: op4 packs under the sources' tokens to this power, a mixture that is not the corpus's own
@@ -53,6 +53,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spm.result(documents(spark, sf_dir))
 
 
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(documents(spark, sf_dir))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(table(spark, sf_dir, "embeddings"))
 
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_audio": op8_audio,
     "op9_quality_rules": op9_quality_rules,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_jaccard_join": op11_jaccard_join,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_fim": op13_fim,
 }
@@ -79,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op3_url_filter": urlfilter.ORACLE,
     "op9_quality_rules": rules.ORACLE,
+    "op11_jaccard_join": jaccard.ORACLE,
     "op12_hard_negatives": negatives.ORACLE,
     "op13_fim": fim.ORACLE,
 }
