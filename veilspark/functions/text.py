@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
@@ -95,3 +96,10 @@ def blocks(original: Column) -> Column:
 
 def file_type(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"\.([^./\\]+)$", 1))
+
+
+def safe_name(key: object) -> str:
+    """A key as part of a file name: nothing in it leads to another folder, two keys give two names, and long ones end in a digest."""
+    s = "null" if key is None else str(key)
+    name = "".join(c if c.isalnum() or (i and c in "-_.@ ") else "".join(f"%{b:02X}" for b in c.encode()) for i, c in enumerate(s)) or "%"
+    return name if len(name.encode()) <= 160 else f"{name.encode()[:100].decode(errors='ignore')}%{hashlib.sha256(s.encode()).hexdigest()}"

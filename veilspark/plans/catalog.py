@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import category as C, dates as D, text as T
 from ..operators import birth as B, detect, entities as E, render as R, reply, spans as S, summary as A
-from ..sources import models, writers
+from ..sources import models, readers, sink, writers
 from ..sources.tables import table
 from ..streaming import progress as P
 from . import duck, pipeline
@@ -358,5 +358,17 @@ def _(spark, d):
 @query("export_files")
 def _(spark, d):
     df = merged(spark, d)
-    made = [writers.exported(df, "note_id", f).select("note_id", F.lit(f).alias("format"), F.octet_length("content").alias("n_bytes")) for f in writers.FORMATS]
+    made = [writers.exported(df, "note_id", f).select("note_id", F.lit(f).alias("format"), F.octet_length("content").alias("n_bytes"), F.sha2("content", 256).alias("sha256")) for f in writers.FORMATS]
     return made[0].union(made[1]).union(made[2]).union(made[3])
+
+
+@query("export_sink", duck.SINK)
+def _(spark, d):
+    """Every note's file in all four formats, written by the sink and read back; of a DOCX file the digest is its document's."""
+    df, folder = merged(spark, d), sink.scratch(spark, "export")
+    for f in writers.FORMATS:
+        sink.save(df, "note_id", f, f"{folder}/{f}")
+    files = sink.load(spark, folder).withColumn("kind", T.file_type(F.col("path")))
+    xml = readers.raw_texts(files.where("kind = 'docx'")).select("path", "kind", F.encode("raw", "UTF-8").alias("content"))
+    both = files.where("kind <> 'docx'").select("path", "kind", "content").union(xml)
+    return both.select(F.regexp_extract("path", r"(\d+)_redacted\.\w+$", 1).cast("long").alias("note_id"), F.col("kind").alias("format"), F.octet_length("content").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))

@@ -184,6 +184,29 @@ def pdf() -> str:
     return f"SELECT note_id, CAST(ord AS INTEGER) AS ord, CAST(ord // 54 AS INTEGER) AS page, CAST(2720 - (ord % 54) * 45 AS INTEGER) AS y, line FROM (SELECT note_id, unnest(string_split(redacted, chr(10))) AS line, unnest(generate_series(0, len(string_split(redacted, chr(10))) - 1)) AS ord FROM ({redact('placeholder')}))"
 
 
+def _pdf_bytes() -> str:
+    """A file of one page, as every note's is: the objects one after the other, and where each begins."""
+    from ..sources.writers import TURKISH
+
+    esc = "replace(replace(replace(line, '\\', '\\\\'), '(', '\\('), ')', '\\)')"
+    shown = f"string_agg('BT /F1 10 Tf 70.87 ' || printf('%.2f', (272.0 - ord * 4.5) * (72 / 25.4)) || ' Td (' || {esc} || ') Tj ET', chr(10) ORDER BY ord)"
+    objects = [
+        "'<</Type/Catalog/Pages 2 0 R>>'", "'<</Type/Pages/Count 1/Kids[4 0 R]>>'", q(f"<</Type/Font/Subtype/Type1/BaseFont/Courier/Encoding<</Type/Encoding/BaseEncoding/WinAnsiEncoding/Differences[{TURKISH}]>>>>"),
+        "'<</Type/Page/Parent 2 0 R/MediaBox[0 0 595.28 841.89]/Resources<</Font<</F1 3 0 R>>>>/Contents 5 0 R>>'", "'<</Length ' || length(body) || '>>' || chr(10) || 'stream' || chr(10) || body || chr(10) || 'endstream'",
+    ]
+    made = ", ".join(f"'{i} 0 obj' || chr(10) || {o} || chr(10) || 'endobj' || chr(10)" for i, o in enumerate(objects, 1))
+    starts = " || ".join(f"printf('%010d 00000 n ', CAST(9 + {' + '.join(['0', *[f'length(o[{j}])' for j in range(1, i)]])} AS INTEGER)) || chr(10)" for i in range(1, 6))
+    return f"""SELECT note_id, '%PDF-1.4' || chr(10) || all_o || 'xref' || chr(10) || '0 6' || chr(10) || '0000000000 65535 f ' || chr(10) || {starts} || 'trailer<</Size 6/Root 1 0 R>>' || chr(10) || 'startxref' || chr(10) || (9 + length(all_o)) || chr(10) || '%%EOF' || chr(10) AS file
+      FROM (SELECT *, array_to_string(o, '') AS all_o FROM (SELECT note_id, [{made}] AS o FROM (SELECT note_id, {shown} AS body FROM ({pdf()}) GROUP BY note_id)))"""
+
+
+def _sink() -> str:
+    plain = redact(BLOCKS)
+    md = f"SELECT note_id, '# Redacted Document' || chr(10) || chr(10) || redacted || chr(10) || chr(10) || '---' || chr(10) || '*De-identified by veilspark*' || chr(10) AS file FROM ({plain})"
+    parts = {"txt": f"SELECT note_id, redacted AS file FROM ({plain})", "md": md, "pdf": _pdf_bytes(), "docx": f"SELECT note_id, xml AS file FROM ({docx()})"}
+    return " UNION ALL ".join(f"SELECT note_id, '{f}' AS format, CAST(strlen(file) AS INTEGER) AS n_bytes, sha256(file) AS sha256 FROM ({x})" for f, x in parts.items())
+
+
 STRIP = r"""
 SELECT page_id, regexp_replace(regexp_replace(regexp_replace(
   replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '<[^<>]*<', '<', 'g'), '<[^>]*(>|$)', '', 'g'), '>', ''), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''),
@@ -220,6 +243,8 @@ FROM (SELECT download_id, seq, CAST(sum(bytes) OVER (PARTITION BY download_id OR
 """
 
 
+SINK = _sink()
+
 #: What each form of made-up reply must give, from the rules for replies: well-formed ones (0-3) all three entities, one with a
 #: trailing comma (4) or cut off in its last object (5) the two before, a flat one (6) and one with words around it (8) an entity
 #: for each key in the keys' order, and objects without known keys (7) an empty list.
