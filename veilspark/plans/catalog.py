@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import category as C, dates as D, text as T
-from ..operators import birth as B, detect, entities as E, render as R, reply, spans as S, summary as A
+from ..operators import birth as B, detect, entities as E, gazetteer as G, render as R, reply, spans as S, summary as A
 from ..sources import models, readers, sink, writers
 from ..sources.tables import table
 from ..streaming import progress as P
@@ -204,6 +204,29 @@ def _(spark, d):
     return A.exploded(merged(spark, d), S.all_spans(F.col("text"), F.col("entities")), "note_id").select("note_id", "e.*")
 
 
+@query("spans_automaton", duck.SPANS + 'SELECT note_id, "start", "end", ord FROM spans')
+def _(spark, d):
+    return A.exploded(merged(spark, d), G.all_spans(F.col("text"), F.col("entities")), "note_id").select("note_id", "e.*")
+
+
+def _names(spark: SparkSession, d: str) -> DataFrame:
+    """Every word of six letters and more that a conversation or a benchmark text has."""
+    texts = table(spark, d, "conversations").select("text").union(table(spark, d, "benchmark").select("text"))
+    return texts.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{6,}"), 0)).alias("name")).distinct()
+
+
+@query("gazetteer", duck.gazetteer(False))
+def _(spark, d):
+    """Where the names stand in whole documents: how often each, and the first and last place."""
+    found = G.gazetteer(table(spark, d, "documents"), "doc_id", _names(spark, d))
+    return found.groupBy("doc_id", "name").agg(F.count("*").alias("n"), F.min("start").alias("first"), F.max("end").alias("last"))
+
+
+@query("gazetteer_resolved", duck.gazetteer(True))
+def _(spark, d):
+    return G.resolved(G.gazetteer(table(spark, d, "benchmark"), "item_id", _names(spark, d)), "item_id")
+
+
 @query("spans_kept", duck.SPANS + 'SELECT note_id, k.s AS "start", k.e AS "end", k.o AS ord FROM (SELECT note_id, unnest(kept) AS k FROM kept)')
 def _(spark, d):
     return A.exploded(_spanned(spark, d), F.col("spans"), "note_id").select("note_id", "e.*")
@@ -335,9 +358,24 @@ def _(spark, d):
     return P.progress(_chunks(spark, d)).select("download_id", "seq", "downloaded", "total", F.round("percent", 6).alias("percent"))
 
 
-@query("progress_throttled")
+@query("progress_rates", duck.PROGRESS_RATES)
 def _(spark, d):
-    return P.throttled(P.progress(_chunks(spark, d)))
+    return P.progress(_chunks(spark, d)).select("download_id", "seq", "mib_per_s", "eta_secs")
+
+
+def _throttled(name: str, download: str, slower: int) -> None:
+    """slower: the events' times divided, so that many chunks come within an interval."""
+
+    @query(name, duck.throttled(download, slower))
+    def _(spark, d):
+        ts = F.timestamp_micros(F.expr(f"unix_micros(CAST(ts AS timestamp)) div {slower}"))
+        chunks = _chunks(spark, d).withColumns({"ts": ts, "download_id": F.expr(download.replace("user_id", "download_id")).cast("long")})
+        return P.throttled(P.progress(chunks)).withColumn("percent", F.round("percent", 6))
+
+
+_throttled("progress_throttled", "user_id", 1)
+_throttled("progress_dense", "user_id", 200_000)
+_throttled("progress_one_download", "0 * user_id", 20_000)
 
 
 @query("corpus_rollup", duck.NOTED + "SELECT lang, category, count(*) AS n, count(*) AS n_enabled FROM merged GROUP BY CUBE (lang, category)")

@@ -136,6 +136,18 @@ kept AS (SELECT note_id, list_reduce(list({{'last': "end", 'kept': [{{'s': "star
 SPANS = f"WITH {NOTED_SQL}, {_spans('numbered')} "
 
 
+def gazetteer(resolved: bool) -> str:
+    docs, key = ("benchmark", "item_id") if resolved else ("documents", "doc_id")
+    head = f"""WITH names AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]{{6,}}')) AS name FROM (SELECT text FROM conversations UNION ALL SELECT text FROM benchmark)),
+    hits AS (SELECT {key}, text, name FROM {docs} JOIN names ON contains(text, name)),
+    parts AS (SELECT {key}, name, unnest(string_split(text, name)) AS p, unnest(generate_series(1, len(string_split(text, name)))) AS k, len(string_split(text, name)) AS parts FROM hits),
+    places AS (SELECT {key}, name, CAST(s AS INTEGER) AS "start", CAST(s + length(name) AS INTEGER) AS "end" FROM (SELECT {key}, name, k, parts, sum(length(p)) OVER (PARTITION BY {key}, name ORDER BY k) + (k - 1) * length(name) AS s FROM parts) WHERE k < parts)"""
+    if not resolved:
+        return head + ' SELECT doc_id, name, count(*) AS n, min("start") AS first, max("end") AS last FROM places GROUP BY ALL'
+    return head + """, kept AS (SELECT item_id, list_reduce(list({'last': "end", 'kept': [{'s': "start", 'e': "end", 'name': name}]} ORDER BY "start", "end" DESC, name), lambda a, x: CASE WHEN x.kept[1].s >= a.last THEN {'last': x.last, 'kept': list_concat(a.kept, x.kept)} ELSE a END).kept AS kept FROM places GROUP BY item_id)
+    SELECT item_id, k.s AS "start", k.e AS "end", k.name AS name FROM (SELECT item_id, unnest(kept) AS k FROM kept)"""
+
+
 def _folded(body: str, base: str, inner: str, outside) -> str:
     return f"""WITH {body}, {_spans(base)},
 flat AS (SELECT note_id, unnest(kept) AS k FROM kept),
@@ -245,6 +257,27 @@ FROM (SELECT download_id, seq, CAST(sum(bytes) OVER (PARTITION BY download_id OR
 
 SINK = _sink()
 
+#: Rates and times left as they are shown, and the records let through, one after the other.
+def _rates(download: str = "user_id", slower: int = 1) -> str:
+    return f"""
+WITH RECURSIVE c AS (SELECT {download} AS download_id, event_id AS seq, epoch_us(ts) // {slower} AS us, epoch_us(ts) // {slower} // 1000 AS ms, CAST(trunc(value * 1000) AS BIGINT) AS bytes FROM events),
+r AS (SELECT download_id, seq, us, ms, CAST(sum(bytes) OVER w AS BIGINT) AS downloaded, CAST(sum(bytes) OVER (PARTITION BY download_id) AS BIGINT) AS total, (us - min(us) OVER (PARTITION BY download_id)) / 1e6 AS secs FROM c WINDOW w AS (PARTITION BY download_id ORDER BY us, seq ROWS UNBOUNDED PRECEDING)),
+p AS (SELECT download_id, seq, us, ms, downloaded, total, CASE WHEN total > 0 THEN least(downloaded / total * 100, 100.0) ELSE 0.0 END AS percent,
+  round(CASE WHEN secs > 0 THEN downloaded / secs ELSE 0 END / 1048576, 2) AS mib_per_s, CAST(CASE WHEN secs > 0 AND downloaded > 0 AND total > downloaded THEN floor((total - downloaded) / (downloaded / secs)) ELSE 0 END AS BIGINT) AS eta_secs FROM r)"""
+
+
+def throttled(download: str = "user_id", slower: int = 1) -> str:
+    return f"""{_rates(download, slower)},
+m AS (SELECT DISTINCT download_id, ms FROM p),
+n AS (SELECT download_id, ms, min(ms) OVER (PARTITION BY download_id ORDER BY ms RANGE BETWEEN 250 FOLLOWING AND UNBOUNDED FOLLOWING) AS after FROM m),
+k AS (SELECT download_id, min(ms) AS ms FROM m GROUP BY download_id UNION ALL SELECT n.download_id, n.after FROM k JOIN n ON k.download_id = n.download_id AND k.ms = n.ms WHERE n.after IS NOT NULL)
+SELECT download_id, downloaded, total, round(percent, 6) AS percent, mib_per_s, eta_secs FROM (SELECT *, row_number() OVER (PARTITION BY download_id, ms ORDER BY us, seq) AS nth FROM p) JOIN k USING (download_id, ms)
+WHERE nth = 1 AND ms > (SELECT min(ms) FROM m WHERE m.download_id = k.download_id)
+UNION ALL SELECT DISTINCT download_id, total, total, 100.0, 0.0, 0 FROM p WHERE downloaded = total"""
+
+
+PROGRESS_RATES = _rates() + " SELECT download_id, seq, mib_per_s, eta_secs FROM p"
+
 #: What each form of made-up reply must give, from the rules for replies: well-formed ones (0-3) all three entities, one with a
 #: trailing comma (4) or cut off in its last object (5) the two before, a flat one (6) and one with words around it (8) an entity
 #: for each key in the keys' order, and objects without known keys (7) an empty list.

@@ -5,21 +5,41 @@ from __future__ import annotations
 from collections.abc import Iterator
 from decimal import ROUND_HALF_UP, Decimal
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 INTERVAL_MS = 250
 
 
+BUCKET_MS = 1 << 16  #: a stretch of time that one array of moments covers at most
+
+
+def _ms(ts: str = "ts") -> Column:
+    return F.unix_millis(F.col(ts).cast("timestamp"))
+
+
 def progress(chunks: DataFrame, totals: DataFrame | None = None) -> DataFrame:
-    """(download_id, ts, downloaded, total, percent, mib_per_s, eta_secs) after each chunk (download_id, ts, bytes, seq); totals: (download_id, total), by default the sums."""
-    totals = totals if totals is not None else chunks.groupBy("download_id").agg(F.sum("bytes").alias("total"))
-    w = Window.partitionBy("download_id").orderBy("ts", "seq")
-    run = chunks.withColumn("downloaded", F.sum("bytes").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("began", F.min("ts").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    """(download_id, ts, downloaded, total, percent, mib_per_s, eta_secs) after each chunk (download_id, ts, bytes, seq); totals: (download_id, total), by default the sums.
+
+    A running sum is that of the stretches of time before, summed up in a window over
+    stretches, and that within a stretch: however many chunks one download has, no task sorts
+    more of them than arrive in a stretch.
+    """
+    cut = chunks.withColumn("bucket", F.floor(_ms() / BUCKET_MS))
+    sums = cut.groupBy("download_id", "bucket").agg(F.sum("bytes").alias("sum"), F.min("ts").alias("first"))
+    w = Window.partitionBy("download_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    own = Window.partitionBy("download_id")
+    before = sums.select("download_id", "bucket", F.coalesce(F.sum("sum").over(w), F.lit(0)).alias("before"), F.min("first").over(own).alias("began"), F.sum("sum").over(own).alias("all"))
+    within = Window.partitionBy("download_id", "bucket").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    run = cut.withColumn("sum", F.sum("bytes").over(within)).join(before, ["download_id", "bucket"])
+    run = run.withColumn("downloaded", (F.col("before") + F.col("sum")).cast("long"))
+    run = run.withColumn("total", F.col("all")) if totals is None else run.join(totals, "download_id")
     secs = F.col("ts").cast("timestamp").cast("double") - F.col("began").cast("timestamp").cast("double")
     rate = F.when(secs > 0, F.col("downloaded") / secs).otherwise(0.0)
     left = F.col("total") - F.col("downloaded")
-    return run.join(totals, "download_id").select(
+    return run.select(
         "download_id", "seq", "ts", "downloaded", "total",
         F.when(F.col("total") > 0, F.least(F.col("downloaded") / F.col("total") * 100, F.lit(100.0))).otherwise(0.0).alias("percent"),
         F.round(rate / 1048576, 2).alias("mib_per_s"),
@@ -30,16 +50,87 @@ def progress(chunks: DataFrame, totals: DataFrame | None = None) -> DataFrame:
 RECORD = "download_id long, downloaded long, total long, percent double, mib_per_s double, eta_secs long"
 
 
+def _chain(moments: np.ndarray, start: int, interval: int) -> list[int]:
+    """Indices of the moments let through, from the one at `start` on: each the first at least `interval` after the one before."""
+    out, i = [], start
+    while i < len(moments):
+        out.append(i)
+        i = int(np.searchsorted(moments, moments[i] + interval))
+    return out
+
+
+def _exits(moments: np.ndarray, interval: int) -> np.ndarray:
+    """For each moment the last one let through if it is let through itself: its successor's, from the end on."""
+    after = np.searchsorted(moments, moments + interval)
+    out = moments.copy()
+    for i in range(len(moments) - 1, -1, -1):
+        if after[i] < len(moments):
+            out[i] = out[after[i]]
+    return out
+
+
+def _functions(batches: Iterator[pa.RecordBatch], interval: int) -> Iterator[pa.RecordBatch]:
+    """What a stretch does with the moment of the last record before it: only moments within `interval` of the stretch's first can be the first let through, so the table is as long as the interval at most."""
+    for batch in batches:
+        entries, exits = [], []
+        for row in batch.column("moments"):
+            m = np.asarray(row.values)
+            n = int(np.searchsorted(m, m[0] + interval)) + 1
+            entries.append(m[:n])
+            exits.append(_exits(m, interval)[:n])
+        lists = pa.list_(pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("download_id"), batch.column("bucket"), pa.array(entries, lists), pa.array(exits, lists)], ["download_id", "bucket", "entries", "exits"])
+
+
+def _states(batches: Iterator[pa.RecordBatch], interval: int) -> Iterator[pa.RecordBatch]:
+    """Stretches come sorted by (download_id, bucket); to each the moment of the last record before it, for the first the download's own first moment."""
+    now, last = None, 0
+    for batch in batches:
+        out = []
+        for d, entries, exits in zip(batch.column("download_id").to_pylist(), batch.column("entries"), batch.column("exits"), strict=True):
+            m = np.asarray(entries.values)
+            if d != now:
+                now, last = d, int(m[0])
+            out.append(last)
+            i = int(np.searchsorted(m, last + interval))
+            if i < len(m):
+                last = int(np.asarray(exits.values)[i])
+        yield pa.RecordBatch.from_arrays([batch.column("download_id"), batch.column("bucket"), pa.array(out, pa.int64())], ["download_id", "bucket", "last"])
+
+
+def _passed(batches: Iterator[pa.RecordBatch], interval: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        at, out = [], []
+        for k, (row, last) in enumerate(zip(batch.column("moments"), batch.column("last").to_pylist(), strict=True)):
+            m = np.asarray(row.values)
+            got = m[_chain(m, int(np.searchsorted(m, last + interval)), interval)]
+            out.append(got)
+            at += [k] * len(got)
+        yield pa.RecordBatch.from_arrays([batch.column("download_id").take(pa.array(at, pa.int64())), pa.array(np.concatenate(out) if out else [], pa.int64())], ["download_id", "ms"])
+
+
+def passed(records: DataFrame, interval_ms: int = INTERVAL_MS) -> DataFrame:
+    """(download_id, ms) of the moments at which a record is let through.
+
+    Which moments pass depends on the one before, all the way back to the first. But what a
+    stretch of time does is a function of the last moment let through before it, and a small
+    one: it depends on which moment of the stretch's first interval_ms comes first. Stretches
+    give their functions side by side, one pass over these (a row for each stretch) gives every
+    stretch its state, and the stretches then mark their moments side by side again.
+    """
+    ids = records.schema["download_id"].dataType.simpleString()
+    moments = records.select("download_id", _ms().alias("ms")).distinct().groupBy("download_id", F.floor(F.col("ms") / max(BUCKET_MS, interval_ms)).alias("bucket")).agg(F.array_sort(F.collect_list("ms")).alias("moments"))
+    tables = moments.mapInArrow(lambda it: _functions(it, interval_ms), f"download_id {ids}, bucket long, entries array<long>, exits array<long>")
+    states = tables.repartition("download_id").sortWithinPartitions("download_id", "bucket").mapInArrow(lambda it: _states(it, interval_ms), f"download_id {ids}, bucket long, last long")
+    return moments.join(states, ["download_id", "bucket"]).select("download_id", "moments", "last").mapInArrow(lambda it: _passed(it, interval_ms), f"download_id {ids}, ms long")
+
+
 def throttled(records: DataFrame, interval_ms: int = INTERVAL_MS) -> DataFrame:
     """Records of progress() at least interval_ms after the last one let through, the first chunk beginning the count, and behind them a last one for each download that is complete: 100 per cent, no rate, nothing left."""
-    ms = (F.col("ts").cast("timestamp").cast("double") * 1000).cast("long").alias("ms")
-    each = records.groupBy("download_id").agg(F.max("total").alias("total"), F.max("downloaded").alias("most"), F.array_sort(F.collect_list(F.struct(ms, "seq", "downloaded", "percent", "mib_per_s", "eta_secs"))).alias("r"))
-    kept = F.aggregate(
-        "r",
-        F.struct(F.get("r", F.lit(0))["ms"].alias("last"), F.array().cast("array<struct<ms:bigint,seq:bigint,downloaded:bigint,percent:double,mib_per_s:double,eta_secs:bigint>>").alias("out")),
-        lambda a, x: F.when(x["ms"] - a["last"] >= interval_ms, F.struct(x["ms"].alias("last"), F.array_append(a["out"], x).alias("out"))).otherwise(a),
-    )
-    out = each.select("download_id", "total", F.explode(kept["out"]).alias("x")).select("download_id", "x.downloaded", "total", "x.percent", "x.mib_per_s", "x.eta_secs")
+    cols = ["downloaded", "percent", "mib_per_s", "eta_secs"]
+    first = records.groupBy("download_id", _ms().alias("ms")).agg(F.min(F.struct("ts", "seq", *cols)).alias("x"), F.max("total").alias("total"))
+    out = first.join(passed(records, interval_ms), ["download_id", "ms"]).select("download_id", "x.downloaded", "total", "x.percent", "x.mib_per_s", "x.eta_secs")
+    each = records.groupBy("download_id").agg(F.max("total").alias("total"), F.max("downloaded").alias("most"))
     done = each.where(F.col("most") >= F.col("total")).select("download_id", F.col("total").alias("downloaded"), "total", F.lit(100.0).alias("percent"), F.lit(0.0).alias("mib_per_s"), F.lit(0).cast("long").alias("eta_secs"))
     return out.union(done)
 
