@@ -1,7 +1,8 @@
 """Entities from the raw replies of a model, however broken their JSON is.
 
-Built-in functions take off what surrounds the JSON; the tolerant parse of what is left is
-one Arrow function, since it needs a strict JSON parser with exact types at each step.
+Built-in functions take off what surrounds the JSON, and a reply that then parses as an object
+of well-typed entities is read as a VARIANT: its text never leaves the JVM. Only what does not
+parse goes to the tolerant steps, one Arrow function of strict JSON with exact types at each.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.text import fence_strip, think_strip
 from .entities import ENTITIES, entity
@@ -123,24 +124,41 @@ def parse(cleaned: str) -> list[Row] | None:
     return found
 
 
-def parsed(df: DataFrame, raw: str = "raw_response") -> DataFrame:
-    """df with entities (null if the reply cannot be read) and error. A null reply is an error."""
-    keep = [c for c in df.columns if c not in ("entities", "error")]
+ROWS = T.ArrayType(T.StructType([T.StructField("original", T.StringType()), T.StructField("category", T.StringType()), T.StructField("confidence", T.DoubleType())]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [None if s is None else parse(s) for s in batch.column("_cleaned").to_pylist()]
-            col = pa.array([None if r is None else [dict(zip(("original", "category", "confidence"), x, strict=True)) for x in r] for r in rows], pa.list_(ROW))
-            cols = [c for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != "_cleaned"]
-            yield pa.RecordBatch.from_arrays([*cols, col], [*[n for n in batch.schema.names if n != "_cleaned"], "_rows"])
 
-    src = df.select(*keep).withColumn("_cleaned", fence_strip(think_strip(F.col(raw))))
-    schema = T.StructType([*src.drop("_cleaned").schema.fields, *T.StructType.fromDDL("_rows array<struct<original:string,category:string,confidence:double>>").fields])
-    out = src.mapInArrow(run, schema)
+def well_typed(cleaned: Column) -> Column:
+    """The rows of whole(), by built-in functions; null where the reply is no object with a list of well-typed entities.
+
+    The parser stops at a value's end and accepts what stands behind it. It is given the reply
+    as the one element of an array and as the one field of an object: what is behind the value
+    could close one of them, never both.
+    """
+    array, field = F.try_parse_json(F.concat(F.lit("["), cleaned, F.lit("]"))), F.try_parse_json(F.concat(F.lit('{"v":'), cleaned, F.lit("}")))
+    alone = field.isNotNull() & (F.size(F.try_variant_get(array, "$", "array<variant>")) == 1)
+    ents = F.when(alone, F.try_variant_get(array, "$[0].entities", "array<variant>"))
+    kind = lambda e, name: F.coalesce(F.schema_of_variant(F.try_variant_get(e, f"$.{name}", "variant")), F.lit("VOID"))
+    number = r"^(BIGINT|FLOAT|DOUBLE|DECIMAL\(.*|VOID)$"
+    good = F.forall(ents, lambda e: F.schema_of_variant(e).startswith("OBJECT") & kind(e, "original").isin("STRING", "VOID") & kind(e, "category").isin("STRING", "VOID") & kind(e, "confidence").rlike(number))
+    rows = F.transform(ents, lambda e: F.struct(*[F.try_variant_get(e, f"$.{n}", t).alias(n) for n, t in (("original", "string"), ("category", "string"), ("confidence", "double"))]))
+    return F.when(good, rows)
+
+
+@F.arrow_udf(ROWS)
+def _salvaged(cleaned: pa.Array) -> pa.Array:
+    rows = [None if s is None else parse(s) for s in cleaned.to_pylist()]
+    return pa.array([None if r is None else [dict(zip(("original", "category", "confidence"), x, strict=True)) for x in r] for r in rows], pa.list_(ROW))
+
+
+def parsed(df: DataFrame, raw: str = "raw_response", salvage: bool = True) -> DataFrame:
+    """df with entities (null if the reply cannot be read) and error. A null reply is an error. Without salvage what is not well typed is an error too, and the plan has no Python."""
+    df = df.drop("entities", "error").withColumn("_cleaned", fence_strip(think_strip(F.col(raw)))).withColumn("_rows", well_typed(F.col("_cleaned")))
+    if salvage:
+        df = df.withColumn("_rows", F.coalesce("_rows", _salvaged(F.when(F.col("_rows").isNull(), F.col("_cleaned")))))
     good = F.filter("_rows", lambda r: r["original"].isNotNull() & r["category"].isNotNull() & (F.length(trimmed(r["original"])) > 0))
     made = F.transform(
         good,
         lambda r: entity(trimmed(r["original"]), normalize_category(r["category"]), subcategory(r["category"], normalize_category(r["category"])), confidence=F.coalesce(r["confidence"], F.lit(CONFIDENCE))),
     )
     preview = F.concat(F.lit("the reply is not JSON: "), F.substring(F.coalesce(F.col(raw), F.lit("")), 1, PREVIEW))
-    return out.withColumn("entities", made.cast(ENTITIES)).withColumn("error", F.when(F.col("_rows").isNull(), preview)).drop("_rows")
+    return df.withColumn("entities", made.cast(ENTITIES)).withColumn("error", F.when(F.col("_rows").isNull(), preview)).drop("_rows", "_cleaned")

@@ -12,7 +12,7 @@ from ..sources import models, readers, sink, writers
 from ..sources.tables import table
 from ..streaming import progress as P
 from . import duck, pipeline
-from .fixtures import noted, notes, replies
+from .fixtures import noted, notes, replies, unreadable
 
 def as_of() -> Column:
     return F.lit("2024-01-01").cast("date")
@@ -325,6 +325,17 @@ def _(spark, d):
     return reply.parsed(replies(spark, d)).groupBy("form").agg(F.count("*").alias("n"), F.count("error").alias("n_errors"), F.sum(F.size("entities")).alias("n_entities"))
 
 
+@query("reply_failures", duck.REPLY_FAILURES)
+def _(spark, d):
+    return reply.parsed(unreadable(spark, d)).select("note_id", F.col("entities").isNull().alias("failed"), "error")
+
+
+@query("reply_well_typed", duck.REPLY_WELL_TYPED)
+def _(spark, d):
+    """Read in the JVM alone; the rest are errors."""
+    return rows(reply.parsed(replies(spark, d), salvage=False).where("error IS NULL"), "original", "category", "subcategory", "confidence")
+
+
 @query("entity_table", duck.NOTED + "SELECT note_id, CAST(ord + 1 AS INTEGER) AS row, original, category, placeholder, CAST(round(confidence * 100) AS INTEGER) AS percent FROM numbered")
 def _(spark, d):
     return A.entity_table(merged(spark, d), "note_id")
@@ -335,6 +346,30 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", F.length(T.truncate_input(F.col("text"), 2000)).alias("n"))
 
 
+@query("truncate_long", duck.truncate(90_000, "repeat(text || chr(10), 60)"))
+def _(spark, d):
+    """What a model is given of texts longer than it takes."""
+    cut = T.truncate_input(F.repeat(F.concat("text", F.lit("\n")), 60), 90_000)
+    return table(spark, d, "documents").select("doc_id", F.length(cut).alias("n"), F.sha2(cut, 256).alias("sha256"))
+
+
+@query("recalc_ages", duck.RECALC_AGES)
+def _(spark, d):
+    return pipeline.recalc(merged(spark, d), True, as_of()).select("note_id", "summary", "detected_birth_date", "redacted_html")
+
+
+@query("toggle_refresh", duck.TOGGLE_REFRESH)
+def _(spark, d):
+    return pipeline.toggle(merged(spark, d), F.lit(1), F.lit(False)).select("note_id", "summary", "redacted_html")
+
+
+@query("export_docx_documents", duck.docx_documents())
+def _(spark, d):
+    """Paragraphs of whole documents, with blank lines and line ends of both kinds among them."""
+    text = F.concat("text", F.lit("\r\n \t\n\n"), "text", F.lit("\n"))
+    return table(spark, d, "documents").select("doc_id", F.sha2(writers.docx_document(text), 256).alias("sha256"))
+
+
 FILES = (("/m/Qwen3-Q4_K_M.gguf", 5_870_000_000), ("/m/other-f16.gguf", 14_000_000_000), ("/m/plain.gguf", 2_000_000_000), ("/n/qwen-big.gguf", 13_000_000_000), ("/n/mid.gguf", 8_000_000_000), ("/n/readme.txt", 10), ("/n/Qwen_Qwen3.5-9B-Q4_K_M.gguf", 1_000_001))
 
 

@@ -183,13 +183,25 @@ todo AS (SELECT note_id, text, list({{'o': original, 'by': {by}, 't': ''}} ORDER
 SELECT note_id, list_reduce(l, lambda a, x: {{'o': x.o, 'by': x.by, 't': replace(a.t, x.o, x.by)}}, {{'o': '', 'by': '', 't': text}}).t AS redacted FROM todo"""
 
 
-def docx() -> str:
+def _document(lines: str) -> str:
+    """document.xml of a list of lines: those of white space alone are empty paragraphs."""
     from ..sources.writers import DECLARATION, W
 
     run = '<w:p><w:r><w:rPr><w:rFonts w:ascii="Courier New" w:hAnsi="Courier New" w:cs="Courier New"/><w:sz w:val="20"/></w:rPr><w:t xml:space="preserve">'
     end = '<w:sectPr><w:pgSz w:w="12240" w:h="15840"/><w:pgMar w:top="1440" w:right="1440" w:bottom="1440" w:left="1440"/></w:sectPr></w:body></w:document>'
     esc = f"replace({_esc('x')}, '''', '&apos;')"
-    return f"SELECT note_id, {q(DECLARATION)} || '<w:document xmlns:w=\"{W}\"><w:body>' || array_to_string(list_transform(string_split(redacted, chr(10)), lambda x: CASE WHEN x = '' THEN '<w:p/>' ELSE {q(run)} || {esc} || '</w:t></w:r></w:p>' END), '') || {q(end)} AS xml FROM ({redact('placeholder')})"
+    blank = r"regexp_matches(x, '^[\s\x0B\x85\p{Z}]*$')"
+    return f"{q(DECLARATION)} || '<w:document xmlns:w=\"{W}\"><w:body>' || array_to_string(list_transform({lines}, lambda x: CASE WHEN {blank} THEN '<w:p/>' ELSE {q(run)} || {esc} || '</w:t></w:r></w:p>' END), '') || {q(end)}"
+
+
+def docx() -> str:
+    return f"SELECT note_id, {_document('string_split(redacted, chr(10))')} AS xml FROM ({redact('placeholder')})"
+
+
+def docx_documents() -> str:
+    parts = "string_split(text || chr(13) || chr(10) || ' ' || chr(9) || chr(10) || chr(10) || text, chr(10))"
+    ended = f"list_transform({parts}, lambda x: CASE WHEN right(x, 1) = chr(13) THEN left(x, length(x) - 1) ELSE x END)"
+    return f"SELECT doc_id, sha256({_document(ended)}) AS sha256 FROM documents"
 
 
 def pdf() -> str:
@@ -232,15 +244,22 @@ def reply_texts(kind: str) -> str:
     return f"SELECT raw, {out} AS out FROM (VALUES {values(REPLY_CASES)}) t(raw)"
 
 
-TRUNCATE = """
-WITH c AS (SELECT doc_id, text, list_reduce(list_transform(string_split(text, chr(10)), lambda x: {'n': CAST(strlen(x) AS BIGINT), 'c': CAST(length(x) AS BIGINT)}),
-    lambda a, x: CASE WHEN a.n + 1 + x.n < 2000 AND a.c >= 0 THEN {'n': a.n + 1 + x.n, 'c': a.c + 1 + x.c} ELSE {'n': CAST(1000000000 AS BIGINT) , 'c': a.c} END) AS r,
-    strlen(string_split(text, chr(10))[1]) AS head FROM documents),
-b AS (SELECT doc_id, list_max(list_filter(range(1, length(text) + 1), lambda i: strlen(left(text, i)) <= 2000)) AS cut FROM documents WHERE strlen(text) > 2000 AND strlen(string_split(text, chr(10))[1]) >= 2000)
-SELECT doc_id, CAST(CASE WHEN strlen(text) <= 2000 THEN length(text) WHEN head < 2000 THEN r.c ELSE cut END AS INTEGER) AS n FROM c LEFT JOIN b USING (doc_id)
+def truncate(limit: int, text: str) -> str:
+    """Whole lines of fewer than `limit` bytes in all, or of a longer first line what fits."""
+    return f"""
+WITH d AS (SELECT doc_id, {text} AS text FROM documents),
+c AS (SELECT doc_id, text, list_reduce(list_transform(string_split(text, chr(10)), lambda x: {{'n': CAST(strlen(x) AS BIGINT), 'c': CAST(length(x) AS BIGINT)}}),
+    lambda a, x: CASE WHEN a.n + 1 + x.n < {limit} AND a.c >= 0 THEN {{'n': a.n + 1 + x.n, 'c': a.c + 1 + x.c}} ELSE {{'n': CAST(1000000000 AS BIGINT) , 'c': a.c}} END) AS r,
+    strlen(string_split(text, chr(10))[1]) AS head FROM d),
+b AS (SELECT doc_id, list_max(list_filter(range(1, length(text) + 1), lambda i: strlen(left(text, i)) <= {limit})) AS cut FROM d WHERE strlen(text) > {limit} AND strlen(string_split(text, chr(10))[1]) >= {limit}),
+n AS (SELECT doc_id, text, CAST(CASE WHEN strlen(text) <= {limit} THEN length(text) WHEN head < {limit} THEN r.c ELSE cut END AS INTEGER) AS n FROM c LEFT JOIN b USING (doc_id))
+SELECT doc_id, n, sha256(left(text, n)) AS sha256 FROM n
 """
 
 
+TRUNCATE = f"SELECT doc_id, n FROM ({truncate(2000, 'text')})"
+
+
 def inventory(files) -> str:
     rows = ", ".join(f"({q(p)}, {n})" for p, n in files)
     whens = " ".join(f"WHEN contains(upper(name), '{x}') THEN '{x}'" for x in QUANTISATIONS) + " " + " ".join(f"WHEN size_gb < {s} THEN '{x}'" for s, x in BY_SIZE)
@@ -290,3 +309,29 @@ SELECT note_id, CAST(ord AS INTEGER) AS ord, CASE kind WHEN 'patient' THEN patie
 FROM f JOIN e ON CASE form WHEN 8 THEN 6 ELSE form END BETWEEN form_from AND form_to"""
 REPLY_ERRORS = f"""WITH {NOTES_SQL} SELECT form, count(*) AS n, CAST(0 AS BIGINT) AS n_errors, CAST(sum(CASE WHEN form < 4 OR form IN (6, 8) THEN 3 WHEN form < 6 THEN 2 ELSE 0 END) AS BIGINT) AS n_entities
 FROM (SELECT CAST(note_id % 9 AS INTEGER) AS form FROM notes) GROUP BY form"""
+
+
+def _recalc_ages() -> str:
+    found = f"{BIRTH}SELECT note_id, any_value(detected_birth_date) AS detected_birth_date, count(*) || '/' || count(*) || ' entities enabled' AS summary FROM aged GROUP BY note_id"
+    return f"SELECT f.note_id, summary, detected_birth_date, html AS redacted_html FROM ({found}) f JOIN ({html(False)}) h USING (note_id)"
+
+
+def _toggle_refresh() -> str:
+    on = "on_list AS (SELECT * FROM numbered WHERE ord <> 1)"
+    inner = f"'<span class=\"pii redacted\" style=\"{BLOCKED}\">' || {BLOCKS.replace('original', 'n.original')} || '</span>'"
+    shown = _folded(f"{NOTED_SQL}, {on}", "on_list", inner, lambda x: f"replace({_esc(x)}, chr(10), '<br>')") + "html FROM done"
+    return f"SELECT note_id, (count(*) - 1) || '/' || count(*) || ' entities enabled' AS summary, any_value(html) AS redacted_html FROM ({NOTED}SELECT note_id FROM merged) JOIN ({shown}) USING (note_id) GROUP BY note_id"
+
+
+RECALC_AGES, TOGGLE_REFRESH = _recalc_ages(), _toggle_refresh()
+REPLY_WELL_TYPED = REPLY_ENTITIES.replace("FROM f JOIN e", "FROM (SELECT * FROM f WHERE form < 4) f JOIN e")
+
+
+def _failures() -> str:
+    from .fixtures import UNREADABLE
+
+    whens = " ".join(f"WHEN {i} THEN {x.replace('STRING', 'VARCHAR')}" for i, x in enumerate(UNREADABLE))
+    return f"WITH {NOTES_SQL} SELECT note_id, true AS failed, 'the reply is not JSON: ' || left(coalesce(CASE CAST(note_id % {len(UNREADABLE)} AS INTEGER) {whens} END, ''), 300) AS error FROM notes"
+
+
+REPLY_FAILURES = _failures()

@@ -128,3 +128,12 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     whens = " ".join(f"WHEN {i} THEN {f}" for i, f in enumerate(forms))
     df = notes(spark, sf_dir).withColumn("form", F.expr(f"CAST(note_id % {FORMS} AS INT)"))
     return df.select("note_id", "form", "lang", "text", F.expr(f"CASE form {whens} END").alias("raw_response"))
+
+
+#: Replies that no step can read: no JSON, JSON with a constant it has not, brackets that nothing closes, nothing at all, none.
+UNREADABLE = ("'No findings for ' || patient || repeat(' today', 60)", "'[NaN, \"' || patient || '\"]'", "'{\"entities\": [' || patient", "''", "CAST(NULL AS STRING)")
+
+
+def unreadable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whens = " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(UNREADABLE))
+    return notes(spark, sf_dir).select("note_id", "lang", "text", F.expr(f"CASE CAST(note_id % {len(UNREADABLE)} AS INT) {whens} END").alias("raw_response"))
