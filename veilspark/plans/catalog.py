@@ -325,6 +325,13 @@ def _(spark, d):
     return reply.parsed(replies(spark, d)).groupBy("form").agg(F.count("*").alias("n"), F.count("error").alias("n_errors"), F.sum(F.size("entities")).alias("n_entities"))
 
 
+@query("prompts", duck.prompts())
+def _(spark, d):
+    """What a model is asked about each note and each document, by its digest."""
+    both = notes(spark, d).select("note_id", "lang", "text").union(table(spark, d, "documents").select("doc_id", "lang", "text"))
+    return detect.prompts(both).select("note_id", "lang", F.octet_length("prompt").alias("n_bytes"), detect.digest().alias("digest"))
+
+
 @query("reply_failures", duck.REPLY_FAILURES)
 def _(spark, d):
     return reply.parsed(unreadable(spark, d)).select("note_id", F.col("entities").isNull().alias("failed"), "error")

@@ -335,3 +335,14 @@ def _failures() -> str:
 
 
 REPLY_FAILURES = _failures()
+
+
+def prompts() -> str:
+    from ..operators.detect import SYSTEM
+
+    made = f"CASE WHEN lang = 'tr' THEN 'Belge:' ELSE 'Document:' END || chr(10) || '---' || chr(10) || left(text, n) || chr(10) || '---'"
+    cut = truncate(90_000, "text").strip()
+    both = f"{NOTES}SELECT note_id AS doc_id, lang, text FROM notes UNION ALL SELECT doc_id, lang, text FROM documents"
+    texts = f"SELECT row_number() OVER () AS doc_id, doc_id AS note_id, lang, text FROM ({both})"
+    limited = cut.replace("SELECT doc_id, text AS text FROM documents", f"SELECT * FROM ({texts})").replace("SELECT doc_id, n, sha256(left(text, n)) AS sha256 FROM n", "SELECT note_id, lang, n, n.text FROM n JOIN d USING (doc_id)")
+    return f"SELECT note_id, lang, CAST(strlen(prompt) AS INTEGER) AS n_bytes, sha256(CASE WHEN lang = 'tr' THEN {q(SYSTEM['tr'])} ELSE {q(SYSTEM['en'])} END || chr(10) || chr(10) || prompt) AS digest FROM (SELECT note_id, lang, {made} AS prompt FROM ({limited}))"
