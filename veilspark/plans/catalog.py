@@ -10,9 +10,9 @@ from ..functions import category as C, dates as D, text as T
 from ..operators import birth as B, detect, entities as E, gazetteer as G, render as R, reply, spans as S, summary as A
 from ..sources import models, readers, sink, writers
 from ..sources.tables import table
-from ..streaming import progress as P
+from ..streaming import edits as L, progress as P
 from . import duck, pipeline
-from .fixtures import noted, notes, replies, unreadable
+from .fixtures import edits, noted, notes, replies, unreadable
 
 def as_of() -> Column:
     return F.lit("2024-01-01").cast("date")
@@ -172,6 +172,11 @@ def _(spark, d):
     return rows(merged(spark, d).withColumn("entities", E.all_set(F.col("entities"), False)), "enabled")
 
 
+@query("edits_folded", duck.EDITS_FOLDED)
+def _(spark, d):
+    return rows(L.folded(merged(spark, d), edits(spark, d), "note_id"), "original", "placeholder", "enabled")
+
+
 @query("category_counts", duck.NOTED + "SELECT note_id, category, count(*) AS n FROM merged GROUP BY ALL")
 def _(spark, d):
     return A.category_counts(merged(spark, d), "note_id")

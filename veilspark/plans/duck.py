@@ -8,7 +8,7 @@ from ..functions.text import BY_SIZE, QUANTISATIONS
 from ..operators.birth import AFTER, BEFORE, SCANS, SUBCATEGORIES
 from ..operators.render import BLOCKED, HIGHLIGHT
 from ..functions.category import COLOURS
-from .fixtures import NOTED_SQL, NOTES_SQL
+from .fixtures import EDITS, NOTED_SQL, NOTES_SQL
 
 NOTES = f"WITH {NOTES_SQL} "
 NOTED = f"WITH {NOTED_SQL} "
@@ -346,3 +346,18 @@ def prompts() -> str:
     texts = f"SELECT row_number() OVER () AS doc_id, doc_id AS note_id, lang, text FROM ({both})"
     limited = cut.replace("SELECT doc_id, text AS text FROM documents", f"SELECT * FROM ({texts})").replace("SELECT doc_id, n, sha256(left(text, n)) AS sha256 FROM n", "SELECT note_id, lang, n, n.text FROM n JOIN d USING (doc_id)")
     return f"SELECT note_id, lang, CAST(strlen(prompt) AS INTEGER) AS n_bytes, sha256(CASE WHEN lang = 'tr' THEN {q(SYSTEM['tr'])} ELSE {q(SYSTEM['en'])} END || chr(10) || chr(10) || prompt) AS digest FROM (SELECT note_id, lang, {made} AS prompt FROM ({limited}))"
+
+
+#: A row of an order's lines edits a list, one edit after the other.
+EDITS_FOLDED = f"""WITH RECURSIVE {NOTED_SQL},
+log AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY note_id ORDER BY seq) AS k FROM (SELECT DISTINCT ON (note_id, seq) * FROM ({EDITS}) ORDER BY note_id, seq, op, index, category, value, original)),
+s AS (SELECT note_id, CAST(0 AS BIGINT) AS k, list({{'o': original, 'c': category, 'p': placeholder, 'v': true}} ORDER BY ord) AS l FROM numbered GROUP BY note_id
+  UNION ALL SELECT s.note_id, log.k, CASE op
+    WHEN 'toggle' THEN list_transform(l, lambda x, i: {{'o': x.o, 'c': x.c, 'p': x.p, 'v': CASE WHEN i - 1 = log.index THEN log.value ELSE x.v END}})
+    WHEN 'category' THEN list_transform(l, lambda x: {{'o': x.o, 'c': x.c, 'p': x.p, 'v': CASE WHEN x.c = log.category THEN log.value ELSE x.v END}})
+    WHEN 'all' THEN list_transform(l, lambda x: {{'o': x.o, 'c': x.c, 'p': x.p, 'v': log.value}})
+    WHEN 'add' THEN CASE WHEN len(list_filter(l, lambda x: x.o = log.original)) > 0 THEN l ELSE list_append(l, {{'o': log.original, 'c': 'manual', 'p': '[REDACTED_' || (len(list_filter(l, lambda x: x.c = 'manual')) + 1) || ']', 'v': true}}) END
+    ELSE list_filter(l, lambda x, i: i - 1 <> log.index OR x.c <> 'manual') END
+  FROM s JOIN log ON log.note_id = s.note_id AND log.k = s.k + 1),
+done AS (SELECT note_id, arg_max(l, k) AS l FROM s GROUP BY note_id)
+SELECT note_id, CAST(i - 1 AS INTEGER) AS ord, x.o AS original, x.p AS placeholder, x.v AS enabled FROM (SELECT note_id, unnest(l) AS x, unnest(generate_series(1, len(l))) AS i FROM done)"""

@@ -137,3 +137,14 @@ UNREADABLE = ("'No findings for ' || patient || repeat(' today', 60)", "'[NaN, \
 def unreadable(spark: SparkSession, sf_dir: str) -> DataFrame:
     whens = " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(UNREADABLE))
     return notes(spark, sf_dir).select("note_id", "lang", "text", F.expr(f"CASE CAST(note_id % {len(UNREADABLE)} AS INT) {whens} END").alias("raw_response"))
+
+
+#: An edit for each line of an order: what it does follows from the line's part.
+OPS = ("toggle", "category", "all", "add", "delete", "toggle")
+_OP = "CASE l_partkey % 6 " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(OPS)) + " END"
+EDITS = f"SELECT l_orderkey AS note_id, CAST(l_linenumber AS BIGINT) AS seq, {_OP} AS op, CAST(l_suppkey % 5 AS INT) AS index, CASE WHEN l_suppkey % 2 = 0 THEN 'date' ELSE 'name' END AS category, l_quantity > 25 AS value, CASE WHEN l_suppkey % 3 = 0 THEN 'is well' ELSE 'Seen' END AS original FROM lineitem"
+
+
+def edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(note_id, seq, op, index, category, value, original)."""
+    return spark.sql(EDITS.replace("FROM lineitem", "FROM {lines}"), lines=table(spark, sf_dir, "lineitem"))
