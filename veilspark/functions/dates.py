@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 from .category import trimmed
@@ -15,7 +17,7 @@ MONTHS = {
 }
 WORD = "([a-zA-ZçğıöşüÇĞİÖŞÜ]+)"
 GAP = r"[\s.\-]+"
-#: Patterns in the order they are tried, and which groups are year, month and day ("1": the first of the year or month).
+#: Patterns in the order they are tried, and which groups are year, month and day ("1": the first of the year or month).
 RULES = (
     (r"^(\d{1,2})[./\-](\d{1,2})[./\-](\d{2,4})\b", "short", 3, 2, 1),
     (r"^(\d{4})-(\d{1,2})-(\d{1,2})\b", "full", 1, 2, 3),
@@ -52,19 +54,26 @@ def cleaned(text: Column) -> Column:
     return F.replace(trimmed(text), F.lit("\u00a0"), F.lit(" "))
 
 
-def parsed(t: Column) -> Column:
+def _made(kind: str) -> Callable[[Column], Column]:
+    """The date of (year, month, day) as a rule of this kind reads them."""
     months = F.create_map(*[F.lit(x) for kv in MONTHS.items() for x in kv])
+
+    def made(part: Column) -> Column:
+        year = part[0].try_cast("int")
+        month = F.try_element_at(months, F.lower(part[1])) if kind == "named" else part[1].try_cast("int")
+        out = calendar(expand_year(year) if kind == "short" else year, month, part[2].try_cast("int"))
+        return F.when(year.between(FIRST_YEAR, LAST_YEAR), out) if kind == "year" else out
+
+    return made
+
+
+def parsed(t: Column) -> Column:
     found = []
     for pattern, kind, y, m, d in RULES:
-        pattern = f"(?U){pattern}"
-        part = lambda i, p=pattern: F.regexp_extract(t, p, i)
-        year = part(y).try_cast("int")
-        if kind == "short":
-            year = expand_year(year)
-        month = F.lit(1) if m is None else F.try_element_at(months, F.lower(part(m))) if kind == "named" else part(m).try_cast("int")
-        day = F.lit(1) if d is None else part(d).try_cast("int")
-        made = F.when(year.between(FIRST_YEAR, LAST_YEAR), calendar(year, month, day)) if kind == "year" else calendar(year, month, day)
-        found.append(F.when(t.rlike(pattern), made))
+        whole = rf"(?sU){pattern}.*\z" if pattern.startswith("^") else rf"(?sU)^.*?{pattern}.*\z"
+        fields = F.split(F.regexp_replace(t, whole, "|".join("1" if g is None else f"${g}" for g in (y, m, d))), r"\|")  # all parts by one match
+
+        found.append(F.when(t.rlike(f"(?U){pattern}"), F.get(F.transform(F.array(fields), _made(kind)), F.lit(0))))
     return F.when(t.rlike(r"(?U)\d"), F.coalesce(*found))
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, functions as F
 
 from ..functions.dates import age_diff, age_phrase, parse_date, plausible_birth
@@ -16,6 +14,7 @@ BEFORE = (
     "dob:", "dob ", "dob.", "d.o.b.", "d.o.b:", "doğum", "dogum",
 )
 AFTER = ("doğumlu", "dogumlu", "doğ.", "doğumludur", "dogumludur", "born", "d.t.", "doğum tarihli", "dogum tarihli")
+#: Parts of the patterns.
 NUM, ISO, NAMED, PAREN = r"(\d{1,2}[./\-]\d{1,2}[./\-]\d{2,4})", r"(\d{4}-\d{1,2}-\d{1,2})", r"(\d{1,2}\s+\w+\s+\d{4})", r"(?:\s*\([^)]*\))?"
 ENGLISH = r"(?:date\s*of\s*birth|dob|birth\s*date)"
 #: Patterns of a labelled birth date in the order they are tried.
@@ -25,14 +24,19 @@ SCANS = (
     rf"do[gğ]umlu\s*[:=]?\s*{NUM}", rf"{NUM}\s*do[gğ]umlu", rf"do[gğ]\.?\s*tar\.?\s*[:=]?\s*{NUM}",
     rf"{ENGLISH}{PAREN}\s*[:=]?\s*{NUM}", rf"{ENGLISH}{PAREN}\s*[:=]?\s*{ISO}", rf"born\s+(?:on\s+)?{NUM}", rf"d\.o\.b\.?\s*[:=]?\s*{NUM}",
 )
+#: Cheap cues without one of which none of the first nine patterns, none of the other four can match.
+GATES = ((9, r"(?iU)do[gğ]|d\.?\s*t"), (4, r"(?iU)birth|dob|born|d\.o\.b"))
 BEFORE_CHARS, AFTER_CHARS = 120, 40
 FOUND = "struct<birth:date,ord:int>"
 
 
 def scanned(text: Column, as_of: Column) -> Column:
     """The date of the first pattern whose first match gives a plausible birth date."""
-    hits = F.array(*[F.regexp_extract(text, f"(?iU){p}", 1) for p in SCANS])
-    dates = F.transform(F.filter(hits, lambda x: x != ""), parse_date)
+    parts, at = [], 0
+    for n, gate in GATES:
+        parts.append(F.when(text.rlike(gate), F.array(*[F.regexp_extract(text, f"(?iU){p}", 1) for p in SCANS[at : at + n]])).otherwise(F.array().cast("array<string>")))
+        at += n
+    dates = F.transform(F.filter(F.concat(*parts), lambda x: x != ""), parse_date)
     return F.get(F.filter(dates, lambda d: d.isNotNull() & plausible_birth(d, as_of)), F.lit(0))
 
 
@@ -57,17 +61,18 @@ def by_subcategory(dates: Column) -> Column:
 
 def by_context(dates: Column, text: Column) -> Column:
     """The first date with a cue in the 120 characters before its first occurrence or in the 40 behind it."""
-    low = F.lower(text)
+    before, after = ("|".join(rf"\Q{c}\E" for c in cues) for cues in (BEFORE, AFTER))
 
-    def near(d: Column) -> Column:
+    def near(d: Column, low: Column) -> Column:
         o = F.lower(d["original"])
-        at = F.position(o, low)
-        before = F.substring(low, F.greatest(at - BEFORE_CHARS, F.lit(1)), F.least(at - 1, F.lit(BEFORE_CHARS)))
-        after = F.substring(low, at + F.length(o), F.lit(AFTER_CHARS))
-        cues = [before.contains(c) for c in BEFORE] + [after.contains(c) for c in AFTER]
-        return (d["category"] == "date") & (at > 0) & reduce(lambda a, b: a | b, cues)
 
-    return _first(dates, near)
+        def cued(at: Column) -> Column:
+            head = F.substring(low, F.greatest(at - BEFORE_CHARS, F.lit(1)), F.least(at - 1, F.lit(BEFORE_CHARS)))
+            return (at > 0) & (head.rlike(before) | F.substring(low, at + F.length(o), F.lit(AFTER_CHARS)).rlike(after))
+
+        return (d["category"] == "date") & F.exists(F.array(F.position(o, low)), cued)
+
+    return F.get(F.transform(F.array(F.lower(text)), lambda low: _first(dates, lambda d: near(d, low))), F.lit(0))
 
 
 def earliest(dates: Column) -> Column:
