@@ -66,11 +66,13 @@ def corpus(seed):
     return out
 
 
-@pytest.mark.parametrize("seed,light,work", [(1, None, 20), (2, 0, 20), (3, 10_000, 0), (4, 30, 0)])
-def test_join(spark, monkeypatch, seed, light, work):
+@pytest.mark.parametrize("seed,light,crowd", [(1, None, 16), (2, 0, 2), (3, 10_000, 1), (4, 30, 10_000)])
+def test_join(spark, monkeypatch, seed, light, crowd):
+    monkeypatch.setattr(jaccard, "CHUNK", 256 if seed == 1 else 3)
+    monkeypatch.setattr(jaccard, "WORDS", 1 << 15 if seed == 1 else 7)
     rows = corpus(seed)
     df = spark.createDataFrame([(i, t, 1, 2, "clash", 3, "clash") for i, t in rows], SCHEMA).repartition(5)
-    got = sorted(map(tuple, jaccard.join(df, light, work).collect()), key=str)
+    got = sorted(map(tuple, jaccard.join(df, light, crowd).collect()), key=str)
     assert got == twin(rows)
     if seed == 1:
         assert jaccard.join(df.limit(0)).collect() == [] and jaccard.join(df.where("text IS NULL OR text = ''")).count() == 2
