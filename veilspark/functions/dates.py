@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, functions as F
 
 from .category import trimmed
@@ -33,6 +31,7 @@ RULES = (
     (r"\b(\d{4})\b", "year", 1, None, None),
 )
 FIRST_YEAR, LAST_YEAR = 1900, 2100
+DIGIT = r"(?U)\d"
 
 
 def expand_year(y: Column) -> Column:
@@ -54,27 +53,27 @@ def cleaned(text: Column) -> Column:
     return F.replace(trimmed(text), F.lit("\u00a0"), F.lit(" "))
 
 
-def _made(kind: str) -> Callable[[Column], Column]:
+def made(part: Column, kind: str) -> Column:
     """The date of (year, month, day) as a rule of this kind reads them."""
     months = F.create_map(*[F.lit(x) for kv in MONTHS.items() for x in kv])
-
-    def made(part: Column) -> Column:
-        year = part[0].try_cast("int")
-        month = F.try_element_at(months, F.lower(part[1])) if kind == "named" else part[1].try_cast("int")
-        out = calendar(expand_year(year) if kind == "short" else year, month, part[2].try_cast("int"))
-        return F.when(year.between(FIRST_YEAR, LAST_YEAR), out) if kind == "year" else out
-
-    return made
+    year = part[0].try_cast("int")
+    month = F.try_element_at(months, F.lower(part[1])) if kind == "named" else part[1].try_cast("int")
+    out = calendar(expand_year(year) if kind == "short" else year, month, part[2].try_cast("int"))
+    return F.when(year.between(FIRST_YEAR, LAST_YEAR), out) if kind == "year" else out
 
 
-def parsed(t: Column) -> Column:
-    found = []
+def rules(t: Column) -> list[tuple[str, Column, Column]]:
+    """For each rule its kind, whether it matches, and (year, month, day) by one match."""
+    out = []
     for pattern, kind, y, m, d in RULES:
         whole = rf"(?sU){pattern}.*\z" if pattern.startswith("^") else rf"(?sU)^.*?{pattern}.*\z"
-        fields = F.split(F.regexp_replace(t, whole, "|".join("1" if g is None else f"${g}" for g in (y, m, d))), r"\|")  # all parts by one match
+        out.append((kind, t.rlike(f"(?U){pattern}"), F.split(F.regexp_replace(t, whole, "|".join("1" if g is None else f"${g}" for g in (y, m, d))), r"\|")))
+    return out
+
 
-        found.append(F.when(t.rlike(f"(?U){pattern}"), F.get(F.transform(F.array(fields), _made(kind)), F.lit(0))))
-    return F.when(t.rlike(r"(?U)\d"), F.coalesce(*found))
+def parsed(t: Column) -> Column:
+    found = [F.when(hit, F.get(F.transform(F.array(fields), lambda p: made(p, kind)), F.lit(0))) for kind, hit, fields in rules(t)]
+    return F.when(t.rlike(DIGIT), F.coalesce(*found))
 
 
 def age_diff(birth: Column, event: Column) -> tuple[Column, Column]:

@@ -22,6 +22,15 @@ def _redacted(by: str) -> str:
     return f"aggregate({order}, body, (acc, x) -> replace(acc, x.o, {by}))"
 
 
+def _parsed(spark: SparkSession) -> str:
+    """dates.parsed of t."""
+    found = []
+    for kind, hit, fields in dates.rules(F.col("t")):
+        test, parts = (_sql(spark, x, t="STRING") for x in (hit, fields))
+        found.append(f"CASE WHEN {test} THEN get(transform(array({parts}), p -> {_sql(spark, dates.made(F.col('p'), kind), p='ARRAY<STRING>')}), 0) END")
+    return f"CASE WHEN {_sql(spark, F.col('t').rlike(dates.DIGIT), t='STRING')} THEN coalesce({', '.join(found)}) END"
+
+
 def register(spark: SparkSession) -> list[str]:
     """Create or replace the functions in this session; their names: normalize_category(raw), parse_date(input), redacted_tagged(body, entities), redacted_plain(body, entities)."""
     o, p = F.col("x.o"), F.col("x.p")
@@ -29,7 +38,7 @@ def register(spark: SparkSession) -> list[str]:
     plain = _sql(spark, F.when(text.age_like(p), p).otherwise(text.blocks(o)), x="STRUCT<o: STRING, p: STRING>")
     made = {
         "normalize_category(raw STRING) RETURNS STRING": _sql(spark, category.normalize_category(F.col("raw")), raw="STRING"),
-        "parse_date(input STRING) RETURNS DATE": f"get(transform(array({clean}), t -> {_sql(spark, dates.parsed(F.col('t')), t='STRING')}), 0)",
+        "parse_date(input STRING) RETURNS DATE": f"get(transform(array({clean}), t -> {_parsed(spark)}), 0)",
         f"redacted_tagged(body STRING, entities {ENTITIES}) RETURNS STRING": _redacted("x.p"),
         f"redacted_plain(body STRING, entities {ENTITIES}) RETURNS STRING": _redacted(plain),
     }

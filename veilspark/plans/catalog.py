@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import category as C, dates as D, text as T
-from ..operators import birth as B, detect, entities as E, gazetteer as G, render as R, reply, spans as S, summary as A
+from ..operators import birth as B, detect, entities as E, gazetteer as G, render as R, reply, rowwise, spans as S, summary as A
 from ..sources import models, readers, sink, writers
 from ..sources.tables import table
 from ..streaming import edits as L, progress as P
@@ -135,6 +135,13 @@ def _(spark, d):
     return rows(detect.corrected(noted(spark, d)), "original", "category", "subcategory", "confidence")
 
 
+@query("entities_lateral", duck.NOTED + "SELECT note_id, ord, original, category, subcategory, CAST(confidence AS DOUBLE) AS confidence FROM merged")
+def _(spark, d):
+    """merge_supplement once more, by a table function in SQL."""
+    rowwise.register(spark)
+    return spark.sql("SELECT n.note_id, e.ord, e.original, e.category, e.subcategory, e.confidence FROM {notes} n, LATERAL entities_of(n.text, n.entities) e", notes=noted(spark, d))
+
+
 @query("placeholders", duck.NOTED + "SELECT note_id, ord, original, placeholder FROM numbered")
 def _(spark, d):
     return rows(merged(spark, d), "original", "placeholder")
