@@ -12,7 +12,7 @@ from ..sources import models, readers, sink, writers
 from ..sources.tables import table
 from ..streaming import edits as L, progress as P
 from . import duck, pipeline
-from .fixtures import edits, noted, notes, replies, unreadable
+from .fixtures import edits, made, noted, notes, replies, unreadable
 
 def as_of() -> Column:
     return F.lit("2024-01-01").cast("date")
@@ -42,10 +42,6 @@ def rows(df: DataFrame, *names: str) -> DataFrame:
     return A.rows(df, "note_id").select("note_id", "ord", *names)
 
 
-def values(spark: SparkSession, schema: str, *data: tuple) -> DataFrame:
-    return spark.createDataFrame(list(data), schema)
-
-
 @query("notes", duck.NOTES + "SELECT note_id, patient, national_id, birth, visit, lang, text FROM notes")
 def _(spark, d):
     return notes(spark, d).drop("variant")
@@ -63,12 +59,12 @@ def _(spark, d):
 
 @query("normalize_category", duck.categories())
 def _(spark, d):
-    return values(spark, "raw string", *[(x,) for x in duck.CATEGORY_CASES]).select("raw", C.normalize_category(F.col("raw")).alias("category"), C.normalize_category(F.col("raw"), True).alias("strict"))
+    return made(spark, d, "labels").select("p_partkey", "raw", C.normalize_category(F.col("raw")).alias("category"), C.normalize_category(F.col("raw"), True).alias("strict"))
 
 
 @query("parse_date", duck.date_cases())
 def _(spark, d):
-    return values(spark, "input string", *[(x,) for x in duck.DATE_CASES]).select("input", D.parse_date(F.col("input")).alias("parsed"))
+    return made(spark, d, "dates").select("o_orderkey", "input", D.parse_date(F.col("input")).alias("parsed"))
 
 
 @query("parse_date_notes", duck.NOTED + f"SELECT note_id, CAST(ord AS INTEGER) AS ord, original, {duck.parse_date('original')} AS parsed FROM fixed")
@@ -293,9 +289,9 @@ def _(spark, d):
     return writers.pdf_layout(_tagged(spark, d), "note_id", F.col("redacted"))
 
 
-@query("export_name", "SELECT * FROM (VALUES ('/a/note.txt', '/a/note_redacted.docx'), ('/a.b/note', '/a.b/note_redacted.docx'), ('x.tar.gz', 'x.tar_redacted.docx')) t(path, name)")
+@query("export_name", duck.EXPORT_NAME)
 def _(spark, d):
-    return values(spark, "path string", ("/a/note.txt",), ("/a.b/note",), ("x.tar.gz",)).select("path", T.export_name(F.col("path"), "docx").alias("name"))
+    return made(spark, d, "paths").select("c_custkey", "path", T.export_name(F.col("path"), "docx").alias("name"))
 
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
@@ -317,14 +313,15 @@ def _(spark, d):
     return _pages(spark, d).select("page_id", T.xml_escape(F.col("html")).alias("escaped"))
 
 
-@query("think_strip", duck.reply_texts("think"))
-def _(spark, d):
-    return values(spark, "raw string", *[(x,) for x in duck.REPLY_CASES]).select("raw", T.think_strip(F.col("raw")).alias("out"))
+def _stripped(name: str, strip: Callable[[Column], Column]) -> None:
+    @query(f"{name}_strip", duck.reply_texts(name))
+    def _(spark, d):
+        out = strip(F.col("raw"))
+        return made(spark, d, "raws").select("conv_id", "turn", F.sha2(out, 256).alias("sha256"), F.length(out).alias("n"))
 
 
-@query("fence_strip", duck.reply_texts("fence"))
-def _(spark, d):
-    return values(spark, "raw string", *[(x,) for x in duck.REPLY_CASES]).select("raw", T.fence_strip(F.col("raw")).alias("out"))
+_stripped("think", T.think_strip)
+_stripped("fence", T.fence_strip)
 
 
 @query("reply_entities", duck.REPLY_ENTITIES)
@@ -389,17 +386,14 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", F.sha2(writers.docx_document(text), 256).alias("sha256"))
 
 
-FILES = (("/m/Qwen3-Q4_K_M.gguf", 5_870_000_000), ("/m/other-f16.gguf", 14_000_000_000), ("/m/plain.gguf", 2_000_000_000), ("/n/qwen-big.gguf", 13_000_000_000), ("/n/mid.gguf", 8_000_000_000), ("/n/readme.txt", 10), ("/n/Qwen_Qwen3.5-9B-Q4_K_M.gguf", 1_000_001))
-
-
-@query("model_inventory", duck.inventory(FILES))
+@query("model_inventory", duck.inventory())
 def _(spark, d):
-    return models.inventory(values(spark, "path string, length long", *FILES))
+    return models.inventory(made(spark, d, "files"))
 
 
-@query("model_catalog", "SELECT * FROM (VALUES ('9b', 'Qwen 3.5 9B', 'Qwen_Qwen3.5-9B-Q4_K_M.gguf', CAST(5.87 AS DOUBLE), true, true), ('27b', 'Qwen 3.5 27B', 'Qwen_Qwen3.5-27B-Q4_K_M.gguf', 17.13, false, false), ('35b-a3b', 'Qwen 3.5 35B-A3B', 'Qwen3.5-35B-A3B-Q4_K_M.gguf', 21.0, false, false)) t(id, name, filename, size_gb, downloaded, active)")
+@query("model_catalog", duck.MODEL_CATALOG)
 def _(spark, d):
-    return models.catalogue_status(models.catalogue(spark), values(spark, "path string, length long", *FILES), "9b")
+    return models.catalogue_status(made(spark, d, "offered"), made(spark, d, "fetched"), "m7")
 
 
 def _chunks(spark: SparkSession, d: str) -> DataFrame:
@@ -450,8 +444,8 @@ def _(spark, d):
 @query("export_files")
 def _(spark, d):
     df = merged(spark, d)
-    made = [writers.exported(df, "note_id", f).select("note_id", F.lit(f).alias("format"), F.octet_length("content").alias("n_bytes"), F.sha2("content", 256).alias("sha256")) for f in writers.FORMATS]
-    return made[0].union(made[1]).union(made[2]).union(made[3])
+    files = [writers.exported(df, "note_id", f).select("note_id", F.lit(f).alias("format"), F.octet_length("content").alias("n_bytes"), F.sha2("content", 256).alias("sha256")) for f in writers.FORMATS]
+    return files[0].union(files[1]).union(files[2]).union(files[3])
 
 
 @query("export_sink", duck.SINK)

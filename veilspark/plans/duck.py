@@ -8,7 +8,7 @@ from ..functions.text import BY_SIZE, QUANTISATIONS
 from ..operators.birth import AFTER, BEFORE, SCANS, SUBCATEGORIES
 from ..operators.render import BLOCKED, HIGHLIGHT
 from ..functions.category import COLOURS
-from .fixtures import EDITS, NOTED_SQL, NOTES_SQL
+from .fixtures import EDITS, FENCE, NOTED_SQL, NOTES_SQL, ROWS
 
 NOTES = f"WITH {NOTES_SQL} "
 NOTED = f"WITH {NOTED_SQL} "
@@ -23,18 +23,6 @@ def values(items) -> str:
     return ", ".join(f"({q(x)})" for x in items)
 
 
-CATEGORY_CASES = (
-    "name", "date", "id", "address", "adres", "phone", "email", "institution", "age", "admission_date", "discharge_date", "date_of_birth", "dob", "patient", "patient_id", "national_id", "location",
-    "city", "street", "zip", "hotel", "e-posta", "hospital", "hospital_name", "org", "facility", "summary", "radiology", "age_at_visit", "message", "incident_date", "tc", "confidence", " Phone ", "DOCTOR",
-)
-DATE_CASES = (
-    "15.03.2020", "15/03/20", "1-2-49", "1-2-50", "31.02.2020", "03/25/2020", "2020-03-15", "2020/3/5", "15 Mart 2020", "March 15, 2012", "Mar 2012", "2019 Ekim", "KASIM 2019", "10/2019", "13/2019", "2022",
-    "1850", "23.01.2023 11:55", "Seen 2021-02-03 ok", "2020.03.15", "15 Sept 2020", "Date: 5 May 2020", "15.03.20201", "27.5.221.1", "abc", "", " 1.1.2001 ",
-)
-FENCE = chr(96) * 3
-REPLY_CASES = ("<think>a</think>{}", "{} <think>open", "<think>a</think>x<think>b</think>y", f"{FENCE}json {{}} {FENCE}", f"{FENCE} [] {FENCE}{FENCE}", "  plain  ", f"{FENCE}json{FENCE}json{{}}")
-
-
 def category(low: str) -> str:
     whens = []
     for cat, cues in CONTAINS.items():
@@ -45,7 +33,7 @@ def category(low: str) -> str:
 
 def categories() -> str:
     names = ", ".join(map(q, CONTAINS))
-    return f"SELECT raw, {category('low')} AS category, CASE WHEN low IN ({names}) THEN low ELSE {category('low')} END AS strict FROM (SELECT raw, trim(lower(raw)) AS low FROM (VALUES {values(CATEGORY_CASES)}) t(raw))"
+    return f"SELECT p_partkey, raw, {category('low')} AS category, CASE WHEN low IN ({names}) THEN low ELSE {category('low')} END AS strict FROM (SELECT p_partkey, raw, trim(lower(raw)) AS low FROM ({ROWS['labels'][1]}))"
 
 
 def _ymd(y: str, m: str, d: str) -> str:
@@ -69,7 +57,7 @@ def parse_date(x: str) -> str:
 
 
 def date_cases() -> str:
-    return f"SELECT input, {parse_date('input')} AS parsed FROM (VALUES {values(DATE_CASES)}) t(input)"
+    return f"SELECT o_orderkey, input, {parse_date('input')} AS parsed FROM ({ROWS['dates'][1]})"
 
 
 def _months(b: str, e: str) -> str:
@@ -239,9 +227,15 @@ SELECT page_id, regexp_replace(regexp_replace(regexp_replace(
 
 
 def reply_texts(kind: str) -> str:
-    f = chr(96) * 3
-    out = "regexp_replace(regexp_replace(raw, '<think>.*?</think>', '', 'gs'), '<think>.*$', '', 's')" if kind == "think" else f"trim(regexp_replace(regexp_replace(regexp_replace(trim(raw), '^({f}json)+', ''), '^({f})+', ''), '({f})+$', ''))"
-    return f"SELECT raw, {out} AS out FROM (VALUES {values(REPLY_CASES)}) t(raw)"
+    f = FENCE
+    trimmed = lambda x: f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+    out = "regexp_replace(regexp_replace(raw, '<think>.*?</think>', '', 'gs'), '<think>.*$', '', 's')" if kind == "think" else trimmed(f"regexp_replace(regexp_replace(regexp_replace({trimmed('raw')}, '^({f}json)+', ''), '^({f})+', ''), '({f})+$', '')")
+    return f"SELECT conv_id, turn, sha256({out}) AS sha256, CAST(length({out}) AS INTEGER) AS n FROM ({ROWS['raws'][1]})"
+
+
+EXPORT_NAME = f"""SELECT c_custkey, path, left(path, length(path) - length(base)) || CASE WHEN contains(base, '.') THEN left(base, length(base) - strpos(reverse(base), '.')) ELSE base END || '_redacted.docx' AS name
+FROM (SELECT c_custkey, path, list_last(string_split(path, '/')) AS base FROM ({ROWS['paths'][1]}))"""
+MODEL_CATALOG = f"SELECT id, name, filename, size_gb, EXISTS (SELECT 1 FROM ({ROWS['fetched'][1]}) f WHERE length > 1000000 AND list_last(string_split(path, '/')) = filename) AS downloaded, id = 'm7' AS active FROM ({ROWS['offered'][1]})"
 
 
 def truncate(limit: int, text: str) -> str:
@@ -260,10 +254,9 @@ SELECT doc_id, n, sha256(left(text, n)) AS sha256 FROM n
 TRUNCATE = f"SELECT doc_id, n FROM ({truncate(2000, 'text')})"
 
 
-def inventory(files) -> str:
-    rows = ", ".join(f"({q(p)}, {n})" for p, n in files)
+def inventory() -> str:
     whens = " ".join(f"WHEN contains(upper(name), '{x}') THEN '{x}'" for x in QUANTISATIONS) + " " + " ".join(f"WHEN size_gb < {s} THEN '{x}'" for s, x in BY_SIZE)
-    return f"SELECT name, path, size_gb, CASE {whens} ELSE 'Q8_0' END AS quantisation FROM (SELECT path, regexp_extract(path, '([^/]+)$', 1) AS name, CAST(round(n / 1073741824.0, 2) AS DOUBLE) AS size_gb FROM (VALUES {rows}) t(path, n)) WHERE path LIKE '%.gguf'"
+    return f"SELECT name, path, size_gb, CASE {whens} ELSE 'Q8_0' END AS quantisation FROM (SELECT path, regexp_extract(path, '([^/]+)$', 1) AS name, CAST(round(length / 1073741824.0, 2) AS DOUBLE) AS size_gb FROM ({ROWS['files'][1]})) WHERE lower(path) LIKE '%.gguf'"
 
 
 PROGRESS = """

@@ -109,6 +109,54 @@ merged AS (
   FROM ids WHERE NOT EXISTS (SELECT 1 FROM fixed f WHERE f.note_id = ids.note_id AND f.original = ids.id)),
 numbered AS (SELECT *, '[' || CASE category WHEN 'name' THEN 'NAME' WHEN 'date' THEN 'DATE' WHEN 'id' THEN 'ID' WHEN 'phone' THEN 'PHONE' ELSE 'PII' END || '_' || row_number() OVER (PARTITION BY note_id, category ORDER BY ord) || ']' AS placeholder FROM merged)"""
 
+def pick(cases, by: str) -> str:
+    """A case for each row, by a number that its columns give; SQL of both engines."""
+    return f"CASE {by} % {len(cases)} " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(cases)) + " END"
+
+
+def literals(*cases: str) -> list[str]:
+    return ["'" + x + "'" for x in cases]
+
+
+#: Labels, dates, raw replies, file names and model files made of rows of the given tables: name -> (table, SQL of both engines).
+LABELS = (
+    "name", "date", "id", "address", "adres", "phone", "email", "institution", "age", "admission_date", "discharge_date", "date_of_birth", "dob", "patient", "patient_id", "national_id", "location",
+    "city", "street", "zip", "hotel", "e-posta", "hospital", "hospital_name", "org", "facility", "summary", "radiology", "age_at_visit", "message", "incident_date", "tc", "confidence", " Phone ", "DOCTOR",
+)
+ODD_DATES = (
+    "15.03.2020", "15/03/20", "1-2-49", "1-2-50", "31.02.2020", "03/25/2020", "2020-03-15", "2020/3/5", "15 Mart 2020", "March 15, 2012", "Mar 2012", "2019 Ekim", "KASIM 2019", "10/2019", "13/2019", "2022",
+    "1850", "23.01.2023 11:55", "Seen 2021-02-03 ok", "2020.03.15", "15 Sept 2020", "Date: 5 May 2020", "15.03.20201", "27.5.221.1", "abc", "", " 1.1.2001 ",
+)
+_NAMED = "CASE CAST(m AS INT) " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(("ocak", "Feb", "Mart", "April", "mayis", "JUNE", "temmuz", "aug", "Eylul", "october", "Kasim", "Dec"), 1)) + " END"
+_DATES = [
+    "d || '.' || m || '.' || y", "d || '/' || m || '/' || substr(y, 3, 2)", "'Seen ' || y || '-' || m || '-' || d || ' ok'", f"d || ' ' || {_NAMED} || ' ' || y", f"{_NAMED} || ' ' || y", "y || '/' || m || '/' || d", "m || '/' || y", "y",
+    f"y || ' ' || {_NAMED}", "d || '-' || m || '-' || y || ' 10:30'", "'order of ' || y", f"{_NAMED} || ' ' || d || ', ' || y", "m || '.' || d || '.' || y",
+]
+FENCE = chr(96) * 3
+_RAW = (
+    "'<think>' || text || '</think>{}'", "text || '<think>' || text", "'<think>a</think>' || text || '<think>b</think>y'", f"'{FENCE}json ' || text || ' {FENCE}'", f"'{FENCE} [' || text || '] {FENCE}{FENCE}'", "'  ' || text || '  '", f"'{FENCE}json{FENCE}json' || text",
+    "text",
+)
+_PATHS = ("c_name || '.txt'", "c_name || '.tar.gz'", "c_name", "'a.b/' || c_name", "'.hidden' || c_name", "c_name || '.'")
+_QUANTS = ("-Q4_K_M", "-q8_0", "-f16", "", "_Q5_K_S", "-Q2_K", "-Q3_K_L")
+_FAMILY = ("Qwen3", "other", "qwen-big", "mid", "Llama")
+ROWS = {
+    "labels": ("part", f"SELECT p_partkey, {pick(literals(*LABELS), 'p_partkey')} || CASE WHEN p_size % 3 = 0 THEN ' ' || p_type ELSE '' END AS raw FROM part"),
+    "dates": ("orders", f"SELECT o_orderkey, {pick([*literals(*ODD_DATES), *_DATES, *_DATES], 'o_orderkey')} AS input FROM (SELECT *, substr(t, 1, 4) AS y, substr(t, 6, 2) AS m, substr(t, 9, 2) AS d FROM (SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS STRING) AS t FROM orders) a) b"),
+    "raws": ("conversations", f"SELECT conv_id, turn, {pick(_RAW, '(conv_id + turn)')} AS raw FROM conversations"),
+    "paths": ("customer", f"SELECT c_custkey, '/' || c_mktsegment || '/' || {pick(_PATHS, 'c_custkey')} AS path FROM customer"),
+    "files": ("part", f"SELECT '/m/' || p_type || '/' || {pick(literals(*_FAMILY), 'p_partkey')} || '-' || CAST(p_partkey AS STRING) || {pick(literals(*_QUANTS), 'p_size')} || CASE p_partkey % 9 WHEN 0 THEN '.txt' WHEN 1 THEN '.GGUF' ELSE '.gguf' END AS path, CAST(p_size AS BIGINT) * 300000000 + p_partkey AS length FROM part"),
+    "offered": ("part", "SELECT 'm' || CAST(p_partkey AS STRING) AS id, p_name AS name, 'model-' || CAST(p_partkey AS STRING) || '.gguf' AS filename, CAST(p_size AS DOUBLE) AS size_gb FROM part"),
+    "fetched": ("lineitem", "SELECT '/m/model-' || CAST(l_partkey AS STRING) || '.gguf' AS path, CAST(l_quantity * 50000 AS BIGINT) AS length FROM lineitem WHERE l_linenumber = 1"),
+}
+
+
+def made(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    source, text = ROWS[name]
+    text = text.replace("{", "{{").replace("}", "}}").replace(f"FROM {source}", "FROM {source}")
+    return spark.sql(text, source=table(spark, sf_dir, source))
+
+
 FORMS = 9
 
 
