@@ -115,3 +115,36 @@ def test_stream_writes_each_document_once(spark, tmp_path):
     docs(spark, 9).where("id >= 5").select("id", "text").coalesce(1).write.mode("append").json(str(src))
     run()
     assert sorted(os.path.basename(f) for f in files(out)) == [f"{i}_redacted.md" for i in range(9)]
+
+
+def test_folder_to_folder(spark, tmp_path):
+    """Files come twice, late and broken; the query is restarted between and in the middle of its batches."""
+    from veilspark.plans import pipeline
+
+    src, out, at = tmp_path / "in", tmp_path / "out", str(tmp_path / "c")
+    src.mkdir()
+
+    def run():
+        pipeline.scan_folder(spark, str(src), str(out), "txt", at).trigger(availableNow=True).start().awaitTermination()
+
+    (src / "a.txt").write_text("ID 12345678901 of Ann")
+    (src / "b.md").write_text("nothing")
+    (src / "bad.txt").write_bytes(b"\xff")
+    (src / "x.png").write_bytes(b"x")
+    (src / "c.docx").write_bytes(writers.docx_bytes(docs(spark, 1).select(writers.docx_document(F.lit("ID 12345678901"))).first()[0]))
+    run()
+    (src / "again").mkdir()
+    now = os.stat(src / "a.txt").st_mtime
+    os.utime(src / "a.txt", (now + 3600, now + 3600))  # listed anew
+    (src / "d.txt").write_text("98765432109")
+    os.utime(src / "d.txt", (now - 200_000, now - 200_000))  # old, and not lost
+    run()
+    newest = max(int(f) for f in os.listdir(tmp_path / "c" / "commits") if f.isdigit())
+    for f in (f"{newest}", f".{newest}.crc"):
+        if os.path.exists(tmp_path / "c" / "commits" / f):
+            os.remove(tmp_path / "c" / "commits" / f)
+    run()
+    got = {os.path.basename(f): open(f, encoding="utf-8").read() for f in files(out)}
+    block = "█" * 11
+    assert len(files(out)) == len(got)
+    assert got == {"a.txt_redacted.txt": f"ID {block} of Ann", "b.md_redacted.txt": "nothing", "c.docx_redacted.txt": f"ID {block}", "d.txt_redacted.txt": block}

@@ -458,3 +458,13 @@ def _(spark, d):
     xml = readers.raw_texts(files.where("kind = 'docx'")).select("path", "kind", F.encode("raw", "UTF-8").alias("content"))
     both = files.where("kind <> 'docx'").select("path", "kind", "content").union(xml)
     return both.select(F.regexp_extract("path", r"(\d+)_redacted\.\w+$", 1).cast("long").alias("note_id"), F.col("kind").alias("format"), F.octet_length("content").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+@query("open_files", duck.OPEN_FILES)
+def _(spark, d):
+    """Exports of all notes, opened again: plain text as it was, and the lines of a PDF."""
+    df, folder = merged(spark, d), sink.scratch(spark, "open")
+    for f in ("txt", "pdf"):
+        sink.save(df, "note_id", f, f"{folder}/{f}")
+    found = readers.open_files(sink.load(spark, folder))
+    return found.select(F.regexp_extract("path", r"(\d+)_redacted\.\w+$", 1).cast("long").alias("note_id"), "kind", F.sha2("text", 256).alias("sha256"), "error")

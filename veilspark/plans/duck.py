@@ -354,3 +354,6 @@ s AS (SELECT note_id, CAST(0 AS BIGINT) AS k, list({{'o': original, 'c': categor
   FROM s JOIN log ON log.note_id = s.note_id AND log.k = s.k + 1),
 done AS (SELECT note_id, arg_max(l, k) AS l FROM s GROUP BY note_id)
 SELECT note_id, CAST(i - 1 AS INTEGER) AS ord, x.o AS original, x.p AS placeholder, x.v AS enabled FROM (SELECT note_id, unnest(l) AS x, unnest(generate_series(1, len(l))) AS i FROM done)"""
+
+OPEN_FILES = f"""SELECT note_id, 'txt' AS kind, sha256(redacted) AS sha256, CAST(NULL AS VARCHAR) AS error FROM ({redact(BLOCKS)})
+UNION ALL SELECT note_id, 'pdf', sha256(trim(redacted, chr(10))), NULL FROM ({redact('placeholder')})"""

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from ..functions.dates import parse_date
 from ..operators import birth, detect, entities as E, render, spans, summary
+from ..sources import readers, sink
 
 
 def with_birth(df: DataFrame, as_of: Column, override: Column | None = None) -> DataFrame:
@@ -42,6 +44,21 @@ def recalc(df: DataFrame, age_mode: bool = True, as_of: Column | None = None, ov
     return rendered(out).withColumn("summary", summary.enabled_summary(F.col("entities")))
 
 
+def scan_folder(spark: SparkSession, folder: str, out: str, fmt: str, checkpoint: str, detector: detect.Detector | None = None, delay: str = "1 day", lang: str = "en") -> DataStreamWriter:
+    """A stream from files of a folder to redacted files in another: each file that comes is opened, scanned and exported once.
+
+    A file is known by its name and content, and one that comes again within `delay` (a copy job
+    that ran twice, a folder moved back) is dropped by state that the watermark bounds. The clock
+    is that of the batches, not of the files, so an old file is never late. Files that cannot be
+    read pass by with no output. The sink replaces a batch that runs again.
+    """
+    files = readers.read_folder_stream(spark, folder).where("error IS NULL")
+    name = F.regexp_extract("path", r"([^/]+)\z", 1)
+    docs = files.select(name.alias("name"), "text", F.lit(lang).alias("lang"), F.current_timestamp().alias("at"), F.sha2("text", 256).alias("digest"))
+    once = docs.withWatermark("at", delay).dropDuplicatesWithinWatermark(["name", "digest"])
+    return sink.save_stream(scan(once, detector, age_mode=False), "name", fmt, out, checkpoint)
+
+
 def toggle(df: DataFrame, index: Column, value: Column) -> DataFrame:
     out = rendered(df.withColumn("entities", E.toggled(F.col("entities"), index, value)))
     return out.withColumn("summary", summary.enabled_summary(F.col("entities"))).withColumn("detected_birth_date", F.lit(None).cast("string"))
