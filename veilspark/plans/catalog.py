@@ -386,6 +386,12 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", F.sha2(writers.docx_document(text), 256).alias("sha256"))
 
 
+@query("selection", duck.SELECTION)
+def _(spark, d):
+    found = T.selection(F.col("chosen"), F.col("text"))
+    return made(spark, d, "chosen").select("doc_id", F.length(found).alias("n"), F.sha2(found, 256).alias("sha256"), F.contains("text", found).alias("found"))
+
+
 @query("model_inventory", duck.inventory())
 def _(spark, d):
     return models.inventory(made(spark, d, "files"))

@@ -357,3 +357,8 @@ SELECT note_id, CAST(i - 1 AS INTEGER) AS ord, x.o AS original, x.p AS placehold
 
 OPEN_FILES = f"""SELECT note_id, 'txt' AS kind, sha256(redacted) AS sha256, CAST(NULL AS VARCHAR) AS error FROM ({redact(BLOCKS)})
 UNION ALL SELECT note_id, 'pdf', sha256(trim(redacted, chr(10))), NULL FROM ({redact('placeholder')})"""
+
+_WHITE = r"[\s\x0B\x85\p{Z}]+"
+SELECTION = f"""SELECT doc_id, CAST(length(f) AS INTEGER) AS n, sha256(f) AS sha256, contains(text, f) AS found FROM (SELECT doc_id, text, CASE WHEN length(t) < 2 THEN NULL WHEN contains(text, t) THEN t
+  WHEN contains(text, regexp_replace(t, '{_WHITE}', ' ', 'g')) THEN regexp_replace(t, '{_WHITE}', ' ', 'g') WHEN contains(text, replace(t, chr(13) || chr(10), chr(10))) THEN replace(t, chr(13) || chr(10), chr(10)) ELSE t END AS f
+  FROM (SELECT *, regexp_replace(chosen, '^{_WHITE}|{_WHITE}$', '', 'g') AS t FROM ({ROWS['chosen'][1]})))"""

@@ -140,7 +140,12 @@ _RAW = (
 _PATHS = ("c_name || '.txt'", "c_name || '.tar.gz'", "c_name", "'a.b/' || c_name", "'.hidden' || c_name", "c_name || '.'")
 _QUANTS = ("-Q4_K_M", "-q8_0", "-f16", "", "_Q5_K_S", "-Q2_K", "-Q3_K_L")
 _FAMILY = ("Qwen3", "other", "qwen-big", "mid", "Llama")
+_CHOSEN = (
+    "substr(text, 1 + CAST(doc_id % 50 AS INT), 40)", "replace(substr(text, 10, 60), ' ', '  ')", "replace(substr(text, 10, 200), chr(10), chr(13) || chr(10))", "' x '", "'not in any text ' || CAST(doc_id AS STRING)",
+    "'  ' || substr(text, 3, 30) || chr(10) || ' '", "replace(substr(text, 1, 300), ' ', chr(10))",
+)
 ROWS = {
+    "chosen": ("documents", f"SELECT doc_id, text, {pick(_CHOSEN, 'doc_id')} AS chosen FROM documents"),
     "labels": ("part", f"SELECT p_partkey, {pick(literals(*LABELS), 'p_partkey')} || CASE WHEN p_size % 3 = 0 THEN ' ' || p_type ELSE '' END AS raw FROM part"),
     "dates": ("orders", f"SELECT o_orderkey, {pick([*literals(*ODD_DATES), *_DATES, *_DATES], 'o_orderkey')} AS input FROM (SELECT *, substr(t, 1, 4) AS y, substr(t, 6, 2) AS m, substr(t, 9, 2) AS d FROM (SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS STRING) AS t FROM orders) a) b"),
     "raws": ("conversations", f"SELECT conv_id, turn, {pick(_RAW, '(conv_id + turn)')} AS raw FROM conversations"),
