@@ -29,8 +29,8 @@ from .textbytes import LOWER, buffer, joined, slices, xxh64
 
 RADIUS = 4
 SHARD = 4096
-TOGETHER = 20_000
-PAIRS = 1_000_000  #: a block of queries has trees of about so many nodes in all
+TOGETHER = 10_000
+PAIRS = 250_000  #: a block of queries has trees of about so many nodes in all
 
 
 def fingerprints_of(column: pa.Array, n: int = 4) -> np.ndarray:
@@ -56,7 +56,7 @@ def fingerprints_of(column: pa.Array, n: int = 4) -> np.ndarray:
 
 def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", 2 << 20):
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("mark"), pa.array(fingerprints_of(part.column("text")))], ["doc_id", "mark", "fp"])
 
 
