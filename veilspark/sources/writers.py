@@ -22,7 +22,9 @@ LINES = int((TOP - BOTTOM) // PITCH)
 WIDTH, HEIGHT, MM = 210.0, 297.0, 72 / 25.4
 #: The six places where the Turkish code page departs from the font's base encoding.
 TURKISH = "208/Gbreve 221/Idotaccent 222/Scedilla 240/gbreve 253/dotlessi 254/scedilla"
-#: Fixed values of the DOCX format: namespace, content types and relationships.
+#: Fixed values of the DOCX format: namespace, content types, relationships, how a line and a page look.
+RUN = '<w:p><w:r><w:rPr><w:rFonts w:ascii="Courier New" w:hAnsi="Courier New" w:cs="Courier New"/><w:sz w:val="20"/></w:rPr><w:t xml:space="preserve">'
+SECTION = '<w:sectPr><w:pgSz w:w="12240" w:h="15840"/><w:pgMar w:top="1440" w:right="1440" w:bottom="1440" w:left="1440"/></w:sectPr>'
 W = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
 DECLARATION = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
 TYPES = f'{DECLARATION}<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/word/document.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"/></Types>'
@@ -43,10 +45,8 @@ def markdown(redacted: Column) -> Column:
 
 def docx_document(redacted: Column) -> Column:
     """document.xml: a paragraph for each line, an empty one for a line of white space alone."""
-    run = '<w:p><w:r><w:rPr><w:rFonts w:ascii="Courier New" w:hAnsi="Courier New" w:cs="Courier New"/><w:sz w:val="20"/></w:rPr><w:t xml:space="preserve">'
-    parts = F.transform(lines(redacted), lambda x: F.when(x.rlike(r"(?U)^\s*\z"), F.lit("<w:p/>")).otherwise(F.concat(F.lit(run), xml_escape(x), F.lit("</w:t></w:r></w:p>"))))
-    page = '<w:sectPr><w:pgSz w:w="12240" w:h="15840"/><w:pgMar w:top="1440" w:right="1440" w:bottom="1440" w:left="1440"/></w:sectPr>'
-    return F.concat(F.lit(f'{DECLARATION}<w:document xmlns:w="{W}"><w:body>'), F.array_join(parts, ""), F.lit(f"{page}</w:body></w:document>"))
+    parts = F.transform(lines(redacted), lambda x: F.when(x.rlike(r"(?U)^\s*\z"), F.lit("<w:p/>")).otherwise(F.concat(F.lit(RUN), xml_escape(x), F.lit("</w:t></w:r></w:p>"))))
+    return F.concat(F.lit(f'{DECLARATION}<w:document xmlns:w="{W}"><w:body>'), F.array_join(parts, ""), F.lit(f"{SECTION}</w:body></w:document>"))
 
 
 def pdf_layout(df: DataFrame, key: str, redacted: Column) -> DataFrame:
