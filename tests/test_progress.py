@@ -60,3 +60,17 @@ def test_one_download_of_many_chunks(spark):
             out.append(m)
             last = m
     assert got == expected == out and len(got) > 3000
+
+
+def test_rates_by_whole_microseconds(spark):
+    """Rates and times left at limits that sums of doubles miss."""
+    rows = []
+    for d in range(400):
+        base = T0 + dt.timedelta(microseconds=123_457 * d)
+        rows += [(d, base, 0, 0), (d, base + dt.timedelta(microseconds=3 * (d + 1)), 3 * (d + 1), 1), (d, base + dt.timedelta(seconds=9), 10**9 + d, 2)]
+    rows += [(1000, T0, 0, 0), (1000, T0 + dt.timedelta(seconds=1), round(1.005 * 1048576), 1)]
+    df = spark.createDataFrame(rows, "download_id long, ts timestamp, bytes long, seq long")
+    got = {(r.download_id, r.seq): r for r in P.progress(df).collect()}
+    for d in range(400):  # a million bytes a second exactly
+        assert got[d, 1].eta_secs == (10**9 + d) // 10**6, d
+    assert got[1000, 1].mib_per_s == round(round(1.005 * 1048576) / 1048576 * 100) / 100

@@ -409,7 +409,7 @@ def _chunks(spark: SparkSession, d: str) -> DataFrame:
 
 @query("progress", duck.PROGRESS)
 def _(spark, d):
-    return P.progress(_chunks(spark, d)).select("download_id", "seq", "downloaded", "total", F.round("percent", 6).alias("percent"))
+    return P.progress(_chunks(spark, d)).select("download_id", "seq", "downloaded", "total", P.rounded(F.col("percent"), 6).alias("percent"))
 
 
 @query("progress_rates", duck.PROGRESS_RATES)
@@ -424,7 +424,7 @@ def _throttled(name: str, download: str, slower: int) -> None:
     def _(spark, d):
         ts = F.timestamp_micros(F.expr(f"unix_micros(CAST(ts AS timestamp)) div {slower}"))
         chunks = _chunks(spark, d).withColumns({"ts": ts, "download_id": F.expr(download.replace("user_id", "download_id")).cast("long")})
-        return P.throttled(P.progress(chunks)).withColumn("percent", F.round("percent", 6))
+        return P.throttled(P.progress(chunks)).withColumn("percent", P.rounded(F.col("percent"), 6))
 
 
 _throttled("progress_throttled", "user_id", 1)

@@ -20,6 +20,11 @@ def _ms(ts: str = "ts") -> Column:
     return F.unix_millis(F.col(ts).cast("timestamp"))
 
 
+def rounded(x: Column, places: int) -> Column:
+    """Half away from zero of x times a power of ten, as doubles, the way SQL engines round them; F.round goes by the shortest decimal of x."""
+    return F.round(x * float(10**places)) / float(10**places)
+
+
 def progress(chunks: DataFrame, totals: DataFrame | None = None) -> DataFrame:
     """(download_id, ts, downloaded, total, percent, mib_per_s, eta_secs) after each chunk (download_id, ts, bytes, seq); totals: (download_id, total), by default the sums.
 
@@ -36,13 +41,14 @@ def progress(chunks: DataFrame, totals: DataFrame | None = None) -> DataFrame:
     run = cut.withColumn("sum", F.sum("bytes").over(within)).join(before, ["download_id", "bucket"])
     run = run.withColumn("downloaded", (F.col("before") + F.col("sum")).cast("long"))
     run = run.withColumn("total", F.col("all")) if totals is None else run.join(totals, "download_id")
-    secs = F.col("ts").cast("timestamp").cast("double") - F.col("began").cast("timestamp").cast("double")
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    secs = (us("ts") - us("began")) / 1e6  # whole microseconds: two doubles of today's seconds are 0.24 of one apart
     rate = F.when(secs > 0, F.col("downloaded") / secs).otherwise(0.0)
     left = F.col("total") - F.col("downloaded")
     return run.select(
         "download_id", "seq", "ts", "downloaded", "total",
         F.when(F.col("total") > 0, F.least(F.col("downloaded") / F.col("total") * 100, F.lit(100.0))).otherwise(0.0).alias("percent"),
-        F.round(rate / 1048576, 2).alias("mib_per_s"),
+        rounded(rate / 1048576, 2).alias("mib_per_s"),
         F.when((rate > 0) & (left > 0), F.floor(left / F.when(rate > 0, rate))).otherwise(0).cast("long").alias("eta_secs"),
     )
 
@@ -142,13 +148,13 @@ def progress_stream(chunks: DataFrame, interval_ms: int = INTERVAL_MS) -> DataFr
         downloaded, began, last = state.get if state.exists else (0, None, None)
         out = []
         for ts, n, total in pd.concat(list(batches)).sort_values(["ts", "seq"])[["ts", "bytes", "total"]].itertuples(index=False):
-            ms = ts.value // 1_000_000
-            began, last = (ms if began is None else began), (ms if last is None else last)
+            us, ms = ts.value // 1000, ts.value // 1_000_000
+            began, last = (us if began is None else began), (ms if last is None else last)
             before, downloaded = downloaded, downloaded + int(n)
             if ms - last >= interval_ms:
-                rate = downloaded / ((ms - began) / 1000) if ms > began else 0.0
+                rate = downloaded / ((us - began) / 1e6) if us > began else 0.0
                 left = total - downloaded
-                out.append((key[0], downloaded, total, min(downloaded / total * 100, 100.0) if total > 0 else 0.0, float(Decimal(rate / 1048576).quantize(Decimal("0.01"), ROUND_HALF_UP)), int(left / rate) if rate > 0 and left > 0 else 0))
+                out.append((key[0], downloaded, total, min(downloaded / total * 100, 100.0) if total > 0 else 0.0, float(Decimal(rate / 1048576 * 100).quantize(Decimal(1), ROUND_HALF_UP)) / 100, int(left / rate) if rate > 0 and left > 0 else 0))
                 last = ms
             if before < total <= downloaded:
                 out.append((key[0], total, total, 100.0, 0.0, 0))
