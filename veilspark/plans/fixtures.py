@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.entities import ENTITIES
-from ..sources.tables import table
+from ..sources.tables import dealt, table
 
 SPARK = {
     "P": "patient", "N": "national_id", "B": "date_format(birth, 'dd.MM.yyyy')", "V": "date_format(visit, 'dd.MM.yyyy')", "V30": "date_format(date_sub(visit, 30), 'dd.MM.yyyy')",
@@ -55,15 +55,20 @@ def _case(values: dict[str, str], glue: str) -> str:
     return f"CASE variant {whens} END"
 
 
+#: Notes that a task works on: dates and forms of one take up to half a millisecond.
+NOTES_A_TASK = 25_000
+
+
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(note_id, patient, national_id, birth, visit, lang, variant, text)."""
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderdate")
     customers = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name")
     df = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).selectExpr(
         "o_orderkey AS note_id", "c_name AS patient", "CAST(10000000000 + o_custkey * 7919 AS STRING) AS national_id",
         "date_add(DATE'1950-01-01', CAST(o_custkey % 16000 AS INT)) AS birth", "CAST(o_orderdate AS DATE) AS visit",
         "CASE WHEN (o_orderkey div 8) % 4 = 3 THEN 'tr' ELSE 'en' END AS lang", "CAST(o_orderkey % 8 AS INT) AS variant",
     )
+    df = dealt(df, orders.count(), NOTES_A_TASK)
     return df.withColumn("text", F.expr(_case(SPARK, ",").replace("\n", "\\n")))
 
 
