@@ -148,3 +148,21 @@ def test_folder_to_folder(spark, tmp_path):
     block = "█" * 11
     assert len(files(out)) == len(got)
     assert got == {"a.txt_redacted.txt": f"ID {block} of Ann", "b.md_redacted.txt": "nothing", "c.docx_redacted.txt": f"ID {block}", "d.txt_redacted.txt": block}
+
+
+def test_archives_hold_every_file(spark, tmp_path, monkeypatch):
+    """All formats by one job, in few archives of a bounded size, with the bytes that one file each has."""
+    df = docs(spark, 60).repartition(2)
+    folder = str(tmp_path / "out")
+    sink.save_archived(df, "id", writers.FORMATS, folder)
+    assert len(files(folder)) == 2 and not os.path.exists(tmp_path / "out" / sink.STAGING)
+    expected = {f"{r.id}_redacted.{f}": bytes(r.content) for f in writers.FORMATS for r in writers.exported(df, "id", f).collect()}
+    got = [(os.path.basename(r.path), bytes(r.content), r.length) for r in sink.unpacked(spark, folder).collect()]
+    assert len(got) == 240 and {n: c for n, c, _ in got} == expected and all(len(c) == n for _, c, n in got)
+    assert sorted((r.id, r.format, bytes(r.content)) for r in writers.exported_all(df, "id").collect()) == sorted((int(n.split("_")[0]), n.rsplit(".")[1], c) for n, c in expected.items())
+    monkeypatch.setattr(sink, "ARCHIVE", 1000)
+    job = sink.Job(str(tmp_path / "small"), "txt", False, True).begin()
+    rows = sink.pa.RecordBatch.from_pydict({"key": ["a", "a", "b", None], "content": [b"x" * 900, b"y" * 900, b"z", None]})
+    assert (job.stage(iter([rows])).files, len(files(tmp_path / "small"))) == (3, 2)
+    with pytest.raises(Exception, match="unsupported export format"):
+        sink.save_archived(df, "id", ("xls",), folder)
