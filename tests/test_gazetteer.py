@@ -46,6 +46,24 @@ def test_gazetteer(spark, small):
     assert G.gazetteer(df, "id", spark.createDataFrame([], "name string"), small).collect() == []
 
 
+@pytest.mark.parametrize("held", [1, 1 << 20])
+def test_pieces_of_names_and_batches_of_places(spark, monkeypatch, held):
+    """A list over many automata gives what one gives, and no automaton has more than its share."""
+    names = [a + b for a in "abcé" for b in "abcdefé"] + ["aa", "a", "é"]
+    df = spark.createDataFrame([(i, "abcdé aaé" * i) for i in range(30)], "id long, text string").repartition(2)
+    one = sorted(map(tuple, G.gazetteer(df, "id", spark.createDataFrame([(n,) for n in names], "name string")).collect()))
+    monkeypatch.setattr(G, "PIECE", 10)
+    monkeypatch.setattr(G, "HELD", held)
+    assert sorted(map(tuple, G.gazetteer(df, "id", spark.createDataFrame([(n,) for n in names], "name string")).collect())) == one and len(one) > 1000
+    assert sorted(map(tuple, G.gazetteer(df, "id", spark.createDataFrame([(n,) for n in names], "name string"), 40).collect())) == one
+    cut = G.pieces(G.pa.array(names), 10)
+    assert len(cut) > 3 and [n for p in cut for n in p.to_pylist()] == names and max(sum(len(n.encode()) for n in p.to_pylist()) for p in cut) <= 13
+    assert G.pieces(G.pa.array([], G.pa.string()), 10)[0].to_pylist() == []
+    monkeypatch.setattr(G, "HITS", 7)
+    part = G.pa.RecordBatch.from_pydict({"key": [1, 2], "text": ["aaaa" * 10, "a"]})
+    assert [b.num_rows for b in G._rows(part, G.automaton([("a", "a")]))] == [7, 7, 7, 7, 7, 6]
+
+
 def test_cost_follows_the_text():
     """A thousand names more cost a reading of the text no more."""
     import time

@@ -4,9 +4,11 @@ spans.all_spans reads a text once for each entity; the automaton reads it once f
 them. The results are the same: each name's occurrences from left to right, none of a name
 overlapping another of the same name, in code points.
 
-A list of names of up to SMALL bytes is broadcast after its size was measured. A longer one is
-dealt to shards of about that size, and each slice of the documents meets each shard in a task
-of its own, so neither the driver nor a task ever holds the whole list.
+A list of names of up to SMALL bytes is broadcast after its size was measured, as one Arrow
+array. An automaton takes a hundred times its names' bytes, so a task builds one over PIECE bytes
+of them at a time: it reads HELD bytes of texts, lets each piece go over them and reads on. A
+longer list is dealt to shards of SMALL bytes, and each slice of the documents meets each shard
+in a task of its own, so neither the driver nor a task ever holds the whole list.
 """
 
 from __future__ import annotations
@@ -17,10 +19,14 @@ from collections.abc import Iterable, Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DataType, IntegerType, StringType, StructField, StructType
 
-SMALL = 16 << 20  #: bytes of names that one automaton is built of
+SMALL = 32 << 20  #: bytes of names that are broadcast
+PIECE = 1 << 20  #: bytes of names that one automaton is built of
+HELD = 64 << 20  #: bytes of texts that all pieces go over in turn
+HITS = 100_000  #: places found that make a batch
 FOUND = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("ord", pa.int32())]))
 PLACE = [("start", IntegerType()), ("end", IntegerType())]
 
@@ -71,21 +77,68 @@ def all_spans(text: Column, ents: Column) -> Column:
     return _spans(text, F.transform(ents, lambda e: F.when(e["enabled"], e["original"])))
 
 
-def _rows(part: pa.RecordBatch, found: ahocorasick.Automaton | None) -> pa.RecordBatch:
-    at, starts, ends, names = [], [], [], []
-    for i, t in enumerate(part.column("text").to_pylist()):
-        for s, e, name in occurrences(found, t):
+def _rows(part: pa.RecordBatch, found: ahocorasick.Automaton | None) -> Iterator[pa.RecordBatch]:
+    """Places in batches of about HITS, however many a batch of texts has."""
+    keys, at, starts, ends, names = part.column("key"), [], [], [], []
+
+    def made() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([keys.take(pa.array(at, pa.int64())), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(names, pa.string())], ["key", "start", "end", "name"])
+        for x in (at, starts, ends, names):
+            x.clear()
+        return out
+
+    for i, t in enumerate(part.column("text")):
+        for s, e, name in occurrences(found, t.as_py()):
             at.append(i)
             starts.append(s)
             ends.append(e)
             names.append(name)
-    key = part.column("key").take(pa.array(at, pa.int64()))
-    return pa.RecordBatch.from_arrays([key, pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(names, pa.string())], ["key", "start", "end", "name"])
+            if len(at) >= HITS:
+                yield made()
+    yield made()
+
+
+def pieces(names: pa.Array, most: int) -> list[pa.Array]:
+    """Names cut into runs of about `most` bytes."""
+    ends = np.cumsum(np.asarray(pc.binary_length(names)), dtype=np.int64)
+    cuts = [0, *(np.flatnonzero(np.diff(ends // max(most, 1))) + 1).tolist(), len(names)]
+    return [names.slice(a, b - a) for a, b in zip(cuts, cuts[1:])]
+
+
+def _held(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[pa.RecordBatch]]:
+    """Batches in lists of about `most` bytes."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
-def _sharded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _searched(texts: list[pa.RecordBatch], cut: list[pa.Array]) -> Iterator[pa.RecordBatch]:
+    """Places of each piece's names in all the texts; one automaton is there at a time."""
+    for names in cut:
+        found = _one(names)
+        for batch in texts:
+            yield from _rows(batch, found)
+        found = None
+
+
+def _one(names: pa.Array) -> ahocorasick.Automaton | None:
+    return automaton((x, x) for x in names.to_pylist())
+
+
+def _sharded(batches: Iterator[pa.RecordBatch], piece: int, held: int) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by (shard, slice, is_text): a shard's names, then the texts of a slice."""
-    now, names, found = None, [], None
+    now, names, texts, size = None, [], [], 0
+
+    def found() -> Iterator[pa.RecordBatch]:
+        if names and texts:
+            yield from _searched(texts, pieces(pa.concat_arrays(names), piece))
+
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -95,14 +148,17 @@ def _sharded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in zip(cuts, cuts[1:]):
             cell, part = tuple(cells[a].tolist()), batch.slice(a, b - a)
             if cell != now:
-                now, names, found = cell, [], None
+                yield from found()
+                now, names, texts, size = cell, [], [], 0
             if not is_text[a]:
-                names += part.column("name").to_pylist()
+                names.append(part.column("name"))
                 continue
-            if names:
-                found, names = automaton((x, x) for x in names), []
-            if found:
-                yield _rows(part, found)
+            texts.append(part)
+            size += part.nbytes
+            if size >= held:
+                yield from found()
+                texts, size = [], 0
+    yield from found()
 
 
 def gazetteer(docs: DataFrame, key: str, names: DataFrame, small: int = SMALL) -> DataFrame:
@@ -112,14 +168,19 @@ def gazetteer(docs: DataFrame, key: str, names: DataFrame, small: int = SMALL) -
     texts = docs.select(docs[key].alias("key"), F.col("text").cast("string").alias("text"))
     schema = texts.select("key", F.lit(0).alias("start"), F.lit(0).alias("end"), "text").withColumnRenamed("text", "name").schema
     if (size or 0) <= small:
-        sent, search = docs.sparkSession.sparkContext.broadcast([r.name for r in names.collect()]), uuid.uuid4().hex
+        sent, search, piece, held = docs.sparkSession.sparkContext.broadcast(names.toArrow().column(0).cast(pa.string()).combine_chunks()), uuid.uuid4().hex, PIECE, HELD
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            cut = pieces(sent.value, piece)
+            if len(cut) > 1:
+                for some in _held(batches, held):
+                    yield from _searched(some, cut)
+                return
             if search not in _kept:  # a worker that runs another task of this search has it already
                 _kept.clear()
-                _kept[search] = automaton((x, x) for x in sent.value)
+                _kept[search] = _one(sent.value)
             for batch in batches:
-                yield _rows(batch, _kept[search])
+                yield from _rows(batch, _kept[search])
 
         found = texts.mapInArrow(run, schema)
     else:
@@ -129,7 +190,8 @@ def gazetteer(docs: DataFrame, key: str, names: DataFrame, small: int = SMALL) -
         each = names.select(F.pmod(F.xxhash64("name"), F.lit(shards)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), F.lit(False).alias("is_text"), F.lit(None).cast(key_type).alias("key"), F.lit(None).cast("string").alias("text"), "name")
         every = texts.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64("key", "text"), F.lit(slices)).cast("int").alias("slice"), F.lit(True).alias("is_text"), "key", "text", F.lit(None).cast("string").alias("name"))
         dealt = each.union(every).repartition(shards * slices, "shard", "slice").sortWithinPartitions("shard", "slice", "is_text")
-        found = dealt.mapInArrow(_sharded, schema)
+        piece, held = PIECE, HELD
+        found = dealt.mapInArrow(lambda it: _sharded(it, piece, held), schema)
     return found.withColumnRenamed("key", key)
 
 
