@@ -166,3 +166,18 @@ def test_archives_hold_every_file(spark, tmp_path, monkeypatch):
     assert (job.stage(iter([rows])).files, len(files(tmp_path / "small"))) == (3, 2)
     with pytest.raises(Exception, match="unsupported export format"):
         sink.save_archived(df, "id", ("xls",), folder)
+
+
+def test_archives_are_compressed_as_a_whole(spark, tmp_path):
+    """Small files of one form take a fraction of their bytes, and archives that were not compressed are still read."""
+    df = docs(spark, 2000).coalesce(1)
+    packed, plain = str(tmp_path / "packed"), str(tmp_path / "plain")
+    sink.save_archived(df, "id", writers.FORMATS, packed)
+    made = {f"{r.id}_redacted.{r.format}": bytes(r.content) for r in writers.exported_all(df, "id").collect()}
+    assert {os.path.basename(r.path): bytes(r.content) for r in sink.unpacked(spark, packed).collect()} == made and len(made) == 8000
+    assert sum(map(os.path.getsize, files(packed))) < sum(map(len, made.values())) / 10
+    os.makedirs(plain)
+    with sink.zipfile.ZipFile(f"{plain}/000000.zip", "w") as z:
+        for name, content in made.items():
+            z.writestr(name, content)
+    assert {os.path.basename(r.path): bytes(r.content) for r in sink.unpacked(spark, plain).collect()} == made
