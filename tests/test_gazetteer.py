@@ -1,6 +1,7 @@
 """The automaton against one search for each name; the list of names broadcast and dealt to shards."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -76,3 +77,60 @@ def test_cost_follows_the_text():
         assert list(G.occurrences(found, text)) == []
         took.append(time.perf_counter() - start)
     assert took[1] < 10 * took[0] + 0.1
+
+
+def brute(texts, names):
+    out = []
+    for i, t in enumerate(texts):
+        for n in names:
+            at = (t or "").find(n)
+            while at >= 0:
+                out.append((i, at, at + len(n), n))
+                at = t.find(n, at + len(n))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed,step,group", [(1, 7, 50), (2, 1 << 18, 1 << 20), (3, 64, 1), (4, 1, 1000)])
+def test_index_equals_one_search_for_each_name(monkeypatch, seed, step, group):
+    """Names of one to thirty characters, of several bytes each, that overlap themselves and begin alike; texts cut anywhere."""
+    monkeypatch.setattr(G, "STEP", step)
+    monkeypatch.setattr(G, "GROUP", group)
+    monkeypatch.setattr(G, "HITS", 11)
+    r = random.Random(seed)
+    word = lambda n: "".join(r.choice("aabé\U0001f600\0") for _ in range(n))
+    names = sorted({word(r.randint(1, 30 if i % 5 == 0 else 9)) for i in range(300)} | {"a" * n for n in (1, 7, 8, 9, 16, 17)} | {"ab" * 20})
+    texts = [word(r.randint(0, 60)) for _ in range(60)] + [None, "", "a" * 200, "ab" * 90, *names[:50]]
+    found = G.Index(G.pa.array(names))
+    part = G.pa.RecordBatch.from_pydict({"key": list(range(len(texts))), "text": texts})
+    expected = brute(texts, names)
+    got = [x for b in G._rows(part, found) for x in zip(*(c.to_pylist() for c in b.columns))]
+    assert found.exact and sorted(got) == expected
+    assert sorted(x for b in G._rows(part.slice(40), found) for x in zip(*(c.to_pylist() for c in b.columns))) == [x for x in expected if x[0] >= 40]
+    n, first, last = Counter((i, x) for i, _, _, x in expected), {}, {}
+    for i, s, e, x in expected:
+        first[i, x], last[i, x] = min(s, first.get((i, x), s)), max(e, last.get((i, x), e))
+    counts = sorted((*k, c, first[k], last[k]) for k, c in n.items())
+    for by in (found, G.automaton((x, x) for x in names)):
+        assert sorted(x for b in G._counts(part, by) for x in zip(*(c.to_pylist() for c in b.columns))) == counts
+
+
+def test_many_names_are_one_reading_of_the_texts(spark, monkeypatch):
+    """Three megabytes of names are no more automata, or readings of the texts, than one name is; documents of one key are added up."""
+    names = [f"name{i:06d}" for i in range(320_000)]
+    assert len(G.pieces(G.pa.array(names), G.PIECE)) == 1
+    texts = [(i % 50, f"name{i:06d}name{i + 1:06d} é name{i:06d}") for i in range(100)]
+    df, listed = spark.createDataFrame(texts, "id long, text string").repartition(3), spark.createDataFrame([(n,) for n in names], "name string")
+    assert isinstance(G._one(G.pa.array(names[:1000])), G.Index)
+    expected = sorted((texts[i][0], s, e, n) for i, s, e, n in brute([t for _, t in texts], names[:102]))
+    assert sorted(map(tuple, G.gazetteer(df, "id", listed).collect())) == expected
+    counts = {}
+    for i, s, e, n in expected:
+        c = counts.setdefault((i, n), [0, s, e])
+        counts[i, n] = [c[0] + 1, min(c[1], s), max(c[2], e)]
+    assert sorted(map(tuple, G.counted(df, "id", listed).collect())) == sorted((*k, *c) for k, c in counts.items())
+    once = df.groupBy("id").agg(F.min("text").alias("text"))
+    assert sorted(map(tuple, G.counted(once, "id", listed, True, 1 << 20).collect())) == sorted(map(tuple, G.counted(once, "id", listed).collect()))
+    monkeypatch.setattr(G, "BASE", 1)  # sums of bytes: "ab" and "ba" are one
+    assert not G.Index(G.pa.array(["ab", "ba"])).exact
+    mixed = G._one(G.pa.array([f"{i:04d}" for i in range(2000)]))
+    assert not isinstance(mixed, G.Index) and [n for _, _, n in G.occurrences(mixed, "0110 1010")] == ["0110", "1010"]

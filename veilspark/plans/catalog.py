@@ -226,8 +226,9 @@ def _names(spark: SparkSession, d: str) -> DataFrame:
 @query("gazetteer", duck.gazetteer(False))
 def _(spark, d):
     """Where the names stand in whole documents: how often each, and the first and last place."""
-    found = G.gazetteer(table(spark, d, "documents"), "doc_id", _names(spark, d))
-    return found.groupBy("doc_id", "name").agg(F.count("*").alias("n"), F.min("start").alias("first"), F.max("end").alias("last"))
+    docs = table(spark, d, "documents")
+    unique = docs.groupBy("doc_id").count().where("count > 1").isEmpty()
+    return G.counted(docs, "doc_id", _names(spark, d), unique)
 
 
 @query("gazetteer_resolved", duck.gazetteer(True))
