@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from veilspark.functions.text import safe_name
 from veilspark.operators import entities as E
-from veilspark.sources import sink, writers
+from veilspark.sources import readers, sink, writers
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -181,3 +181,17 @@ def test_archives_are_compressed_as_a_whole(spark, tmp_path):
         for name, content in made.items():
             z.writestr(name, content)
     assert {os.path.basename(r.path): bytes(r.content) for r in sink.unpacked(spark, plain).collect()} == made
+
+
+def test_files_of_archives_are_opened_by_one_reading(spark, tmp_path):
+    """The same texts and errors as by a reading for each kind, of archives that take a fraction of their files' bytes."""
+    folder = str(tmp_path / "out")
+    sink.save_archived(docs(spark, 500).coalesce(1), "id", writers.FORMATS, folder)
+    found = sink.unpacked(spark, folder)
+    assert sum(map(os.path.getsize, files(folder))) < found.agg(F.sum("length")).first()[0] / 10
+    odd = [("/a/x.txt", b"\xff"), ("/a/x.md", b""), ("/a/x.docx", b"no"), ("/a/x.pdf", b"no"), ("/a/x.png", b"x"), ("/a/none", b"x"), ("/a/n.txt", None)]
+    both = found.select("path", "content").union(spark.createDataFrame(odd, "path string, content binary"))
+    got = readers.open_files(both, once=True)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, readers.open_files(both).collect()), key=str) and got.schema == readers.open_files(both).schema
+    plan = readers.open_files(found, once=True)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
